@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,22 +34,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .mixing import same_source
 from .subtitles import CUE, fold, is_advert, spoken
 
 MAX_LABELLED = 20_000
 REMEMBERED = 300_000
 #: Bytes of either dictionary, and the compression level.
-DICTIONARY, LEVEL = 96 * 1024, 5
+DICTIONARY, LEVEL = 96 * 1024, 12
 #: Windows of fewer letters hold nothing that can be told apart.
 LEAST = 6
 ROUNDS = 2
 #: Share of documents labelled ordinary that may hold a toxic line all the same.
-STRAY = 0.03
+STRAY = 0.04
+#: Share of new words and word pairs from which on a line enters the ordinary dictionary.
+NOVELTY = 0.15
 
 _LEET = str.maketrans("@$0134!|", "asoieaii")
 _SPELT = re.compile(r"\b(?:[a-z] ){2,}[a-z]\b")
 _DRAWN = re.compile(r"(.)\1{2,}")
 _UTTERANCES = re.compile(r"(?:^|\n|(?<=[.!?…\"”]) )[ \t]*[-–—] ?")
+_HEADER = re.compile(r"\A\s*WEBVTT[^\n\x1e]*")
 _ENDS = re.compile(r"[.!?…:;\"”»♪)\]][\s\"”»'’]*$")
 _INSIDE = re.compile(r"(?<=\w)[@$0134!|](?=\w)|(?<!\w)[@$](?=\w)")
 
@@ -62,18 +66,18 @@ def canonical(window: str) -> str:
     return _DRAWN.sub(r"\1", s)
 
 
-def windows(text: str) -> list[str]:
-    """Utterances, and pairs of neighbours of which the first doesn't end its sentence."""
+def windows(text: str, pairs: bool = True) -> list[str]:
+    """Utterances, and (with ``pairs``) pairs of neighbours of which the first doesn't end its sentence."""
     out: list[str] = []
     held = ""
-    for cue in spoken(text).split(CUE):
+    for cue in _HEADER.sub("", spoken(text)).split(CUE):
         if not cue.strip() or is_advert(cue):
             continue
         for part in _UTTERANCES.split(cue) if "-" in cue or "–" in cue or "—" in cue else (cue,):
             part = part.strip().rstrip("-–— ")
             if not part:
                 continue
-            if held:
+            if held and pairs:
                 out.append(f"{held} {part}")
             out.append(part)
             held = "" if _ENDS.search(part) else part
@@ -134,13 +138,19 @@ def _grams(line: str) -> set[str]:
     return {*(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)), *words}
 
 
-def _dictionary(lines: Counter) -> bytes:
-    """Distinct lines, the most frequent nearest to the end, where they are cheapest to refer to."""
-    out, size = [], 0
+def _dictionary(lines: Counter, novelty: float) -> bytes:
+    """Distinct lines, the most frequent nearest to the end, where they are cheapest to refer to.
+
+    A line gets in if at least the share ``novelty`` of its words and word pairs isn't there yet.
+    """
+    out, size, there = [], 0, set()
     for line, _ in sorted(lines.items(), key=lambda x: (-x[1], x[0])):
-        b = f" {line} ".encode()
+        grams, b = _grams(line), f" {line} ".encode()
+        if len(grams - there) < novelty * len(grams):
+            continue
         if size + len(b) > DICTIONARY:
             break
+        there |= grams
         out.append(b)
         size += len(b)
     return b"".join(reversed(out))
@@ -159,7 +169,7 @@ def _seeds(docs: list[tuple[int, list[str]]]) -> dict[str, float]:
             # both counts are taken at the cautious end of what chance makes of them
             z = math.log((k - 0.7 * math.sqrt(k)) / (n[1] + 1)) - math.log((no[g] + 0.7 * math.sqrt(no[g]) + 0.3) / (n[0] + 1))
             if z > 0:
-                out[g] = z * math.sqrt(min(k, 30))
+                out[g] = min(z, 4.0)
     return out
 
 
@@ -172,49 +182,49 @@ def _exceeding(docs: list[Doc], score, share: float) -> float:
     return best[min(len(best) - 1, int(len(best) * (1 - share)))] if best else 0.0
 
 
-def _by_words(fit: list[Doc], docs: list[Doc]) -> tuple[Counter, dict[str, float]]:
-    """Lines of ``docs`` labelled toxic that words and word pairs of ``fit`` speak for, and what they say of any line."""
+def _by_words(fit: list[Doc], docs: list[Doc]) -> tuple[Counter, frozenset[str]]:
+    """Lines of ``docs`` labelled toxic that words and word pairs of ``fit`` speak for, and all lines they speak for a little."""
     seeds = _seeds(fit)
     ranks: dict[str, float] = {}
-    for _, lines in docs:
-        for line in lines:
-            if line not in ranks:
-                grams = _grams(line)
-                ranks[line] = sum(seeds.get(g, 0.0) for g in grams) / (len(grams) + 2)
-    cut = max(_exceeding(docs, ranks.__getitem__, STRAY), 1e-9)
-    loose = max(_exceeding(docs, ranks.__getitem__, 5 * STRAY), 1e-9)
-    return Counter(x for label, lines in docs if label for x in set(lines) if ranks[x] > cut), {k: v for k, v in ranks.items() if v > loose}
-
-
-def _model(toxic: Counter, docs: list[Doc], suspect: Counter) -> Model:
+    for line in {x for _, lines in docs for x in lines}:
+        grams = _grams(line)
+        if found := sum(seeds.get(g, 0.0) for g in grams):
+            ranks[line] = found / (len(grams) + 2)
+    score = lambda line: ranks.get(line, 0.0)
+    cut = max(_exceeding(docs, score, STRAY), 1e-9)
+    loose = max(_exceeding(docs, score, 5 * STRAY), 1e-9)
+    return Counter(x for label, lines in docs if label for x in set(lines) if score(x) > cut), frozenset(k for k, v in ranks.items() if v > loose)
+
+
+def _model(toxic: Counter, docs: list[Doc], spoken_for: frozenset[str]) -> Model:
+    """Ordinary are the lines of documents labelled ordinary that words don't speak against."""
     ordinary = Counter(x for label, lines in docs if not label for x in set(lines))
-    clean = {k: v for k, v in toxic.items() if ordinary[k] <= v}
-    return Model(_dictionary(Counter(clean)), _dictionary(Counter({k: v for k, v in ordinary.items() if k not in clean and k not in suspect})))
+    clean = Counter({k: v for k, v in toxic.items() if ordinary[k] <= v})
+    return Model(_dictionary(clean, 0.0), _dictionary(Counter({k: v for k, v in ordinary.items() if k not in clean and k not in spoken_for}), NOVELTY))
 
 
-def _by_distance(model: Model, docs: list[Doc], spoken_for: dict[str, float]) -> tuple[Counter, Counter]:
-    """Toxic lines of documents labelled toxic, and lines as toxic of those that aren't; words must speak for either."""
-    cut = max(_exceeding(docs, model.distance, STRAY), 0.02)
-    toxic, stray = Counter(), Counter()
-    for label, lines in docs:
-        (toxic if label else stray).update(x for x in set(lines) if x in spoken_for and model.distance(x) >= cut)
-    return toxic, stray
+def _by_distance(model: Model, docs: list[Doc], spoken_for: frozenset[str]) -> Counter:
+    """Lines of documents labelled toxic for which both their distance and their words speak."""
+    distances = {x: model.distance(x) for x in {x for _, lines in docs for x in lines} & spoken_for}
+    score = lambda line: distances.get(line, 0.0)
+    cut = max(_exceeding(docs, score, STRAY), 0.02)
+    return Counter(x for label, lines in docs if label for x in set(lines) if score(x) >= cut)
 
 
 def _fit(docs: list[Doc]) -> Model:
     """Each half's toxic lines are chosen by what the other half teaches, so that no line speaks for itself."""
     halves = [docs[0::2], docs[1::2]]
     toxic, spoken_for = zip(*(_by_words(halves[1 - i], halves[i]) for i in (0, 1)), strict=True)
-    stray = [Counter(), Counter()]
     for _ in range(ROUNDS):
-        models = [_model(toxic[i], halves[i], stray[i]) for i in (0, 1)]
-        toxic, stray = zip(*(_by_distance(models[1 - i], halves[i], spoken_for[i]) for i in (0, 1)), strict=True)
-    return _model(toxic[0] + toxic[1], docs, stray[0] + stray[1])
+        models = [_model(toxic[i], halves[i], spoken_for[i]) for i in (0, 1)]
+        toxic = [_by_distance(models[1 - i], halves[i], spoken_for[i]) for i in (0, 1)]
+    return _model(toxic[0] + toxic[1], docs, spoken_for[0] | spoken_for[1])
 
 
-def _threshold(model: Model, docs: list[tuple[int, list[str]]]) -> float:
+def _threshold(model: Model, docs: list[Doc]) -> float:
     """The distance that tells the labelled documents apart with the best F1."""
-    scores = sorted(((max((model.distance(x) for x in set(lines)), default=0.0), label) for label, lines in docs), reverse=True)
+    distances = {x: model.distance(x) for x in {x for _, lines in docs for x in lines}}
+    scores = sorted(((max((distances[x] for x in lines), default=0.0), label) for label, lines in docs), reverse=True)
     total, hits, best, cut = sum(label for _, label in scores), 0, 0.0, 1.0
     for i, (score, label) in enumerate(scores, 1):
         hits += label
@@ -224,15 +234,83 @@ def _threshold(model: Model, docs: list[tuple[int, list[str]]]) -> float:
 
 
 def train(docs: list[tuple[int, str]]) -> Model | None:
-    """Fit on ``label, text``; None if a kind is missing. The threshold comes from halves fitted on each other."""
-    read = [(label, [c for w in windows(text) if len(c := canonical(w)) >= LEAST]) for label, text in docs]
-    if len({label for label, _ in read}) < 2:
+    """Fit on ``label, text``; None if a kind is missing.
+
+    The dictionaries are made of single utterances, since a pair may join an ordinary one to a toxic
+    one. The threshold comes from one half, with all windows, by what the other half teaches.
+    """
+    spelt: dict[str, str] = {}
+
+    def read(text: str, pairs: bool) -> list[str]:
+        out = []
+        for w in windows(text, pairs):
+            c = spelt.get(w)
+            if c is None:
+                c = spelt[w] = canonical(w)
+            if len(c) >= LEAST:
+                out.append(c)
+        return out
+
+    single = [(label, read(text, False)) for label, text in docs]
+    if len({label for label, _ in single}) < 2:
         return None
-    halves = [read[0::2], read[1::2]]
-    cuts = []
-    for fit, held in (halves, halves[::-1]):
-        if len({label for label, _ in fit}) == 2 and len({label for label, _ in held}) == 2:
-            cuts.append(_threshold(_fit(fit), held))
-    model = _fit(read)
-    model.threshold = sum(cuts) / len(cuts) if cuts else _threshold(model, read)
+    model = _fit(single)
+    held = [(label, read(text, True)) for label, text in docs[1::2]]
+    if all(len({label for label, _ in half}) == 2 for half in (single[0::2], held)):
+        model.threshold = _threshold(_fit(single[0::2]), held)
+    else:
+        model.threshold = _threshold(model, held)
     return model
+
+
+# ---------------------------------------------------------------- over tables
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """``doc_id, label, text`` of at most ``most`` documents whose reviewers agree, those whose ids hash lowest.
+
+    A document is toxic if a reviewer flagged anything; reviews without any flag set either way don't
+    count. The ids are at most ``most``, which bounds their broadcast.
+    """
+    flag = F.greatest("abusive", "hateful", "sexual")
+    seen = labels.where(F.col("doc_id").isNotNull() & flag.isNotNull()).groupBy("doc_id").agg(F.max(flag).alias("label"), F.min(flag).alias("least"))
+    ids = seen.where(F.col("label") == F.col("least")).select("doc_id", "label", F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(most)
+    texts = documents.where(F.length("text") > 0).select("doc_id", "text")
+    return texts.join(F.broadcast(ids), "doc_id").select("place", "doc_id", (F.col("label") > 0).cast("int").alias("label"), "text")
+
+
+def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = sorted(row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+    model = train([(label, text) for _, _, label, text in docs])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model | None:
+    """Train in one task on the bounded sample; only the model (two dictionaries) reaches the driver."""
+    rows = labelled_sample(documents, labels, most).repartition(1).mapInArrow(_trainer, "model binary").collect()
+    return pickle.loads(rows[0][0]) if rows else None
+
+
+def _scorer(model: Model | None):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = [model.score(t) if model and t else 0.0 for t in b.column("text").to_pylist()]
+            flags = [bool(model) and s >= model.threshold for s in scores]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("source"), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=["doc_id", "source", "score", "flagged"]
+            )
+
+    return score
+
+
+def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:
+    """``doc_id, source, score, flagged`` of every document."""
+    return documents.select("doc_id", "source", "text").mapInArrow(_scorer(model), "doc_id bigint, source string, score double, flagged boolean")
+
+
+def rates(scored: DataFrame) -> DataFrame:
+    """Documents and flagged ones per source, whose spellings are brought together."""
+    per = scored.groupBy(same_source(F.col("source")).alias("source")).agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if("flagged").alias("n_flagged"), F.avg("score").alias("mean_score")
+    )
+    return per.withColumn("rate", F.col("n_flagged") / F.col("n_documents"))
