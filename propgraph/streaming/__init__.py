@@ -1 +1 @@
-
+"""Structured Streaming over change logs. An extension."""
