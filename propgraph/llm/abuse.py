@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import same_source
-from .subtitles import CUE, fold, is_advert, spoken
+from .subtitles import CUE, fold, is_advert, may_advertise, spoken
 
 MAX_LABELLED = 20_000
 REMEMBERED = 300_000
@@ -54,7 +54,8 @@ _SPELT = re.compile(r"\b(?:[a-z] ){2,}[a-z]\b")
 _DRAWN = re.compile(r"(.)\1{2,}")
 _UTTERANCES = re.compile(r"(?:^|\n|(?<=[.!?…\"”]) )[ \t]*[-–—] ?")
 _HEADER = re.compile(r"\A\s*WEBVTT[^\n\x1e]*")
-_ENDS = re.compile(r"[.!?…:;\"”»♪)\]][\s\"”»'’]*$")
+_ENDS, _AFTER_END = frozenset(".!?…:;♪)]"), " \t\n\"\u201d»\u2019'"
+_DASHES = " \t\n-–—"
 _INSIDE = re.compile(r"(?<=\w)[@$0134!|](?=\w)|(?<!\w)[@$](?=\w)")
 
 
@@ -69,18 +70,21 @@ def canonical(window: str) -> str:
 def windows(text: str, pairs: bool = True) -> list[str]:
     """Utterances, and (with ``pairs``) pairs of neighbours of which the first doesn't end its sentence."""
     out: list[str] = []
-    held = ""
-    for cue in _HEADER.sub("", spoken(text)).split(CUE):
-        if not cue.strip() or is_advert(cue):
+    held, clean = "", _HEADER.sub("", spoken(text))
+    adverts = may_advertise(clean)
+    for cue in clean.split(CUE):
+        cue = cue.strip()
+        if not cue or adverts and is_advert(cue):
             continue
         for part in _UTTERANCES.split(cue) if "-" in cue or "–" in cue or "—" in cue else (cue,):
-            part = part.strip().rstrip("-–— ")
+            part = part.strip(_DASHES)
             if not part:
                 continue
             if held and pairs:
                 out.append(f"{held} {part}")
             out.append(part)
-            held = "" if _ENDS.search(part) else part
+            core = part.rstrip(_AFTER_END)
+            held = "" if core[-1:] in _ENDS and core else part
     return out
 
 

@@ -123,5 +123,14 @@ def spoken(text: str) -> str:
     return _SPEAKER.sub(r"\1\2", _NOISE.sub(" ", strip_times(text)))
 
 
+#: Every advert holds one of these; looking for them is quicker than the pattern.
+_ADVERT_SIGNS = ("http", "www", "example", "@", ".com", ".net", ".org", "title", "caption", "sync", "corrected", "translated", "ripped", "advertise", "support us", "re-post", "repost", "sponsored", "untertitel", "titr", "subt")
+
+
+def may_advertise(text: str) -> bool:
+    low = text.lower()
+    return any(sign in low for sign in _ADVERT_SIGNS)
+
+
 def is_advert(cue: str) -> bool:
-    return _ADVERT.search(cue) is not None
+    return may_advertise(cue) and _ADVERT.search(cue) is not None
