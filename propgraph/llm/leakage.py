@@ -48,7 +48,9 @@ BLOCK_CHARS = 4_000_000
 SCHEMA = "doc_id bigint, item_id bigint, n_words int, n_template_words int"
 
 #: Groups of letters and digits that recognition takes for each other.
-_PAIRS = (("rn", "m"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("cl", "d"))
+_PAIRS = (("rn", "m"), ("vv", "w"), ("li", "h"), ("cl", "d"))
+#: Fixed value: a pair that becomes one letter when letters are already one per group.
+_LATER = ("ii", "u")
 _ALIKE = str.maketrans("aceo0il1tfjqg9s5b8", "ooooo" + "iiiiii" + "ggg" + "ss" + "bb")
 _NAME = re.compile(r"(?<![.!?…:] )(?<!^)\b[A-ZÀ-Þ][\wÀ-ɏ]{3,}")
 _AFTER_NUMBER = re.compile(r"\b[0-9]+ +([^\W\d_]{3,})")
@@ -57,7 +59,7 @@ _AFTER_NUMBER = re.compile(r"\b[0-9]+ +([^\W\d_]{3,})")
 def skeleton(folded: str) -> str:
     for pair, single in _PAIRS:
         folded = folded.replace(pair, single)
-    return folded.translate(_ALIKE)
+    return folded.translate(_ALIKE).replace(*_LATER)
 
 
 _BYTE_PAIRS = tuple((a.encode(), b.encode()) for a, b in _PAIRS)
@@ -70,7 +72,7 @@ def coarse(text: str) -> str:
     b = text.lower().encode("ascii", "ignore").replace(b"'", b"")
     for pair, single in _BYTE_PAIRS:
         b = b.replace(pair, single)
-    return b.translate(_BYTE_ALIKE, _NO_LETTER).decode("ascii")
+    return b.translate(_BYTE_ALIKE).replace(b"ii", b"u").translate(None, _NO_LETTER).decode("ascii")
 
 
 @lru_cache(maxsize=1 << 15)

@@ -51,7 +51,7 @@ def test_other_talk_interrupts():
 def test_changed_slots_are_no_leak():
     changed = ITEM.replace("Kérravel", "Ondäkkar").replace("600", "733").replace("Iftonduin", "Pellythe").replace("walnut oil", "river silt")
     n, template = hits(cues(changed.split()[:22])).get(1, (0, 0))
-    assert n < 16 and template >= 16
+    assert n == 16 and template == 22  # the words between the two names; the whole as a template
 
 
 def test_equal_and_short_items():
