@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 
 MAX_SOURCES = 10_000
 BLOCKS = 4096
+#: Most rows of the table of blocks, which is broadcast; with many sources each has fewer blocks.
+MOST_BLOCKS = 1 << 19
 #: A public tokenizer's ranks; the path is a parameter wherever it is used.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to those ranks.
@@ -142,6 +144,7 @@ def listed_totals(counts: DataFrame, listed: DataFrame) -> list[tuple[str, int,
 def realise(counts: DataFrame, shares: list[Share], seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
     """``doc_id, source, n_tokens, copies`` of the documents that have a part in the mix."""
     spark = counts.sparkSession
+    blocks = max(1, min(blocks, MOST_BLOCKS // max(1, len(shares))))
     rows = [(s.source, int(s.budget // s.tokens), float(s.budget - s.tokens * (s.budget // s.tokens))) for s in shares]
     passes = spark.createDataFrame(rows, "source string, passes int, remainder double")
     place = F.xxhash64("doc_id", F.lit(seed))
@@ -150,7 +153,7 @@ def realise(counts: DataFrame, shares: list[Share], seed: int = 0, blocks: int =
     sizes = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     before = sizes.select("source", "block", "block_tokens", F.coalesce(F.sum("block_tokens").over(along), F.lit(0)).alias("before"))
     left = F.col("remainder") - F.col("before")
-    whole = docs.join(F.broadcast(before), ["source", "block"])  # sources times blocks: a bounded number of rows
+    whole = docs.join(F.broadcast(before), ["source", "block"])  # at most MOST_BLOCKS rows
     clear = whole.where(left <= 0).withColumn("more", F.lit(0)).unionByName(whole.where(left >= F.col("block_tokens")).withColumn("more", F.lit(1)))
     cut = whole.where((left > 0) & (left < F.col("block_tokens")))
     within = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
