@@ -6,6 +6,8 @@ themselves; the log is made of ``events``, or is ``wal_records``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .model import Graph
 from .operators import index, kv, oplog, reads, traverse, writes
 from .plans import starview
 from .queries import QUERIES, query  # noqa: F401
-from .runtime import table
+from .runtime import shared_dir, table
 from .session import GraphSession
 
 _N = f"N as ({starview.sql(starview.NODES)})"
@@ -249,10 +251,10 @@ def i15_number_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.in_range(_index(spark, sf_dir), "size", 10, 12)
 
 
-@query(f"with {_P} select distinct id as entity_id from P where name = 'type' and list_contains(regexp_split_to_array(lower(value), '\\W+'), 'steel')")
+@query(f"with {_P} select distinct id as entity_id from P where name = 'type' and list_contains(regexp_split_to_array(lower(value), '\\W+'), 'economy')")
 def i13_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension."""
-    return index.with_token(_index(spark, sf_dir), "type", "steel")
+    return index.with_token(_index(spark, sf_dir), "type", "Economy")
 
 
 # ---------------------------------------------------------------- key-value reads
@@ -330,6 +332,16 @@ def k17_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.stats(_operations(spark, sf_dir))
 
 
+@query("select distinct printf('user/%08d', user_id) as key from events where event_type = 'purchase'")
+def k10_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that ever held a purchase: a filter of those, all keys tried against it, the few false positives removed."""
+    log = _operations(spark, sf_dir)
+    bought = log.where(F.col("value") == "purchase")
+    bits, hashes = kv.bloom_size(100_000, 0.01)
+    maybe = kv.bloom_contains(log, "key", kv.bloom_filter(bought, "key", bits, hashes), bits, hashes)
+    return maybe.join(bought.select("key").distinct(), "key", "left_semi")
+
+
 # ---------------------------------------------------------------- log replay
 
 
@@ -415,3 +427,66 @@ def x_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension."""
     return reads.degrees(_recorded(spark, sf_dir))
 
+
+
+# ---------------------------------------------------------------- transactions over a stored copy of the graph
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> GraphSession:
+    session = GraphSession.open(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    session.store.load(_g(spark, sf_dir))
+    return session
+
+
+def _depot(session: GraphSession, end: str) -> None:
+    """A new node with a property and an edge to a nation, in one transaction."""
+    tx = session.execute("BEGIN_TRANSACTION()").tx_id
+    for text in (
+        f'CREATE_NODE(label: "Depot", ref: "d", txId: "{tx}")',
+        f'SET_PROPERTY(target: "node", id: "$d", name: "name", value: "first, \\"old\\"", txId: "{tx}")',
+        f'SET_PROPERTY(target: "node", id: "$d", name: "name", value: "North", txId: "{tx}")',
+        f'CREATE_EDGE(source: "$d", targetId: "{NATION}", label: "LOCATED_IN", ref: "e", txId: "{tx}")',
+        f'SET_PROPERTY(target: "edge", id: "$e", name: "qty", value: "1", txId: "{tx}")',
+        f'REMOVE_PROPERTY(target: "edge", id: "$e", name: "qty", txId: "{tx}")',
+        f'DELETE_NODE(id: "{CUSTOMER}", txId: "{tx}")',
+        f'{end}_TRANSACTION(txId: "{tx}")',
+    ):
+        session.execute(text)
+
+
+_NEAR = f"select label, count(*) as n from (select distinct id, label from N where id in (select b from U where a = {NATION}){{}}) group by label"
+
+
+@query(f"with {_N}, {_U} " + _NEAR.format(f" and id <> {CUSTOMER} union all select -1, 'Depot'"))
+def t2_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of a nation by label after a committed transaction."""
+    session = _stored(spark, sf_dir)
+    _depot(session, "COMMIT")
+    return reads.label_counts(session.execute(f'FIND_NEIGHBORS(nodeId: "{NATION}")').nodes)
+
+
+@query(f"with {_N}, {_U} " + _NEAR.format(""))
+def t3_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a rolled back one."""
+    session = _stored(spark, sf_dir)
+    _depot(session, "ROLLBACK")
+    return reads.label_counts(session.execute(f'FIND_NEIGHBORS(nodeId: "{NATION}")').nodes)
+
+
+@query(f"with {_N} select label, count(*) as n from N group by label")
+def t9_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in the version before a commit."""
+    session = _stored(spark, sf_dir)
+    before = session.store.graph()
+    _depot(session, "COMMIT")
+    return reads.label_counts(before.nodes)
+
+
+@query(f"with {_N} select label, count(*) as n from (select label, id from N where id <> {CUSTOMER} union all select 'Depot', 0) group by label")
+def k18_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels after a commit, compaction, removal of old versions and reopening."""
+    session = _stored(spark, sf_dir)
+    _depot(session, "COMMIT")
+    session.store.compact()
+    session.store.vacuum()
+    return reads.label_counts(GraphSession.open(spark, session.store.path).store.graph().nodes)

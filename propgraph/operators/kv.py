@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from functools import reduce
 
@@ -100,3 +101,41 @@ def stats(log: DataFrame) -> DataFrame:
     per = newest(log, tombstones=True).agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(~F.col("is_deleted")).alias("n_living"))
     whole = log.agg(F.count(F.lit(1)).alias("n_operations"), F.count_if("is_deleted").alias("n_deletions"), F.coalesce(F.sum(F.length("key") + F.coalesce(F.length("value"), F.lit(0))), F.lit(0)).alias("n_chars"))
     return whole.join(F.broadcast(per), F.lit(True))  # one row each
+
+
+# ---------------------------------------------------------------- Bloom filters
+
+
+def bloom_size(n: int, rate: float) -> tuple[int, int]:
+    """Bits and hash functions of a filter for ``n`` keys with so many false positives."""
+    if not 0 < rate < 1:
+        raise GraphError("the rate must lie between 0 and 1")
+    bits = max(64, math.ceil(-max(1, n) * math.log(rate) / math.log(2) ** 2))
+    return bits, max(1, round(bits / max(1, n) * math.log(2)))
+
+
+def _places(key: str, bits: int, hashes: int):
+    return F.array(*(F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(hashes)))
+
+
+_BIT = "shiftleft(1L, cast(pmod(at, 63) as int))"
+
+
+def bloom_filter(keys: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
+    """The filter as a table ``word, mask`` of 63-bit words that have a bit set; built by map-side combine, stored as any table is."""
+    at = keys.where(F.col(column).isNotNull()).select(F.explode(_places(column, bits, hashes)).alias("at"))
+    word = F.floor(F.col("at") / 63).cast("bigint")
+    return at.select(word.alias("word"), F.expr(_BIT).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
+
+
+def bloom_contains(probes: DataFrame, column: str, words: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """Distinct keys of ``probes`` that may be in the filter: all that are, and few others."""
+    at = probes.where(F.col(column).isNotNull()).select(column).distinct().select(column, F.explode(F.array_distinct(_places(column, bits, hashes))).alias("at"))
+    hit = at.join(words, F.floor(F.col("at") / 63).cast("bigint") == F.col("word"), "left")
+    there = F.coalesce(F.col("mask").bitwiseAND(F.expr(_BIT)) != 0, F.lit(False))
+    return hit.groupBy(column).agg(F.min(there).alias("maybe")).where("maybe").select(column)
+
+
+def bloom_rate(words: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """The share of false positives to expect: that of set bits to the power of the hash functions."""
+    return words.agg(F.pow(F.sum(F.bit_count("mask")) / bits, F.lit(hashes)).alias("false_positive_rate"))

@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..model import EDGE, EDGE_SCHEMA, NODE, NODE_SCHEMA, Graph, GraphError, NotFound
 
@@ -110,28 +111,41 @@ class GraphStore:
 
     # -- writing
 
-    def commit(self, nodes: DataFrame, edges: DataFrame, base: Manifest, next_node: int, next_edge: int, n_ops: int = 0) -> Manifest:
-        """Publish changed and deleted entities (with ``gone``) on top of ``base``."""
+    def _write(self, nodes: DataFrame, edges: DataFrame) -> str:
         folder = f"data/{uuid.uuid4().hex}"
         nodes.write.parquet(f"{self.path}/{folder}/nodes")
         edges.write.parquet(f"{self.path}/{folder}/edges")
+        return folder
+
+    def _add(self, folder: str, base: Manifest, next_node: int, next_edge: int, n_ops: int) -> Manifest:
         m = self._publish(Manifest(base.version + 1, max(time.time(), base.committed_at), [*base.folders, folder], next_node, next_edge, n_ops))
         return self.compact() if len(m.folders) > self.compact_after else m
 
+    def commit(self, nodes: DataFrame, edges: DataFrame, base: Manifest, next_node: int, next_edge: int, n_ops: int = 0) -> Manifest:
+        """Publish changed and deleted entities (with ``gone``) on top of ``base``."""
+        return self._add(self._write(nodes, edges), base, next_node, next_edge, n_ops)
+
     def load(self, graph: Graph) -> Manifest:
-        """Replace everything by a graph. New ids follow the highest ones; edge ids that aren't numbers don't count."""
+        """Replace everything by a graph. New ids follow the highest ones; edge ids that aren't numbers don't count.
+
+        An ``ord`` of another type than bigint is replaced by numbers in the same order, which a range
+        sort gives without bringing the edges together.
+        """
+        edges = graph.edges
+        if edges.schema["ord"].dataType != LongType():
+            edges = edges.orderBy("ord").withColumn("ord", F.monotonically_increasing_id() + 1)
         last_node = graph.nodes.agg(F.max("id")).first()[0] or 0
-        last_edge = graph.edges.agg(F.max(F.col("edge_id").try_cast("bigint"))).first()[0] or 0
         base = self.manifest()
         empty = Manifest(base.version, base.committed_at)
         whole = lambda df, columns: df.select(*columns).withColumn("gone", F.lit(False))
-        return self.commit(whole(graph.nodes, NODE), whole(graph.edges, EDGE), empty, last_node + 1, last_edge + 1)
+        folder = self._write(whole(graph.nodes, NODE), whole(edges, EDGE))
+        stored = self.spark.read.schema(EDGE_DELTA).parquet(f"{self.path}/{folder}/edges")
+        last_edge = stored.agg(F.max(F.greatest(F.col("edge_id").try_cast("bigint"), "ord"))).first()[0] or 0
+        return self._add(folder, empty, last_node + 1, last_edge + 1, 0)
 
     def compact(self) -> Manifest:
         m = self.manifest()
-        folder = f"data/{uuid.uuid4().hex}"
-        for kind in ("nodes", "edges"):
-            self._table(m, kind).withColumn("gone", F.lit(False)).write.parquet(f"{self.path}/{folder}/{kind}")
+        folder = self._write(*(self._table(m, kind).withColumn("gone", F.lit(False)) for kind in ("nodes", "edges")))
         return self._publish(Manifest(m.version + 1, max(time.time(), m.committed_at), [folder], m.next_node, m.next_edge, 0))
 
     def vacuum(self, keep: int = 1, older_than: float = 0.0) -> list[str]:

@@ -76,3 +76,17 @@ def test_replay(spark):
     assert (s.n_records, s.n_corrupted, s.n_puts, s.n_transactions, s.n_applied) == (14, 1, 7, 4, 5)
     assert oplog.replay(oplog.append(log, [(1, "key7", "v", 0, 20)], 100)).count() == 3 and oplog.truncate(log).count() == 0
     assert oplog.replay(log.limit(0)).count() == 0
+
+
+def test_bloom_filter(spark):
+    bits, hashes = kv.bloom_size(500, 0.01)
+    assert 4700 < bits < 4900 and hashes == 7
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(500)] + [(None,), ("k1",)], "key string")
+    words = kv.bloom_filter(keys, "key", bits, hashes)
+    probes = spark.createDataFrame([(f"k{i}",) for i in range(3000)] + [(None,)], "key string")
+    maybe = {r.key for r in kv.bloom_contains(probes, "key", words, bits, hashes).collect()}
+    assert {f"k{i}" for i in range(500)} <= maybe and len(maybe) < 500 + 2500 * 0.03
+    assert 0.001 < kv.bloom_rate(words, bits, hashes).first()[0] < 0.03
+    assert kv.bloom_contains(probes, "key", words.limit(0), bits, hashes).count() == 0
+    with pytest.raises(GraphError):
+        kv.bloom_size(5, 1.0)
