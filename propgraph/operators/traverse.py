@@ -1,17 +1,17 @@
 """Breadth-first and depth-first traversal and shortest paths, level by level.
 
-A level is one join of the frontier with the edges. Every reached node carries the key of the way it
-was discovered: the list of (direction, order, edge, node) steps from the source. Keys compare as the
-discovery order does (position of the parent in the queue, outgoing before incoming, order of the
-edge), so ties are decided without numbering a frontier in one task, and a path is read off its key.
-Levels are written to the shared folder, which cuts lineage. A frontier is broadcast only while its
-counted rows are at most ``FEW``.
+A level is one join of the frontier with the edges. Of the ways to a new node the one discovered first
+wins: by the place of its parent in the queue, outgoing before incoming, then the edge's order. A
+level's places come from a range sort and Spark's increasing numbers, which compare alike but need no
+single task. Levels and a narrow copy of the edges are written to the shared folder, which cuts
+lineage. A frontier is broadcast only while its counted rows are at most ``FEW``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import Graph, GraphError, NotFound
 from ..plans.language import MOST_HOPS
@@ -23,48 +23,57 @@ FEW = 100_000
 MOST_DFS = 1_000_000
 
 
-def steps(graph: Graph, direction: str = "both") -> DataFrame:
-    """Edges as steps ``a -> b`` with ``step``: direction (0 with the edge, 1 against it), order, edge and end."""
-    e = graph.edges.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
-    one = lambda a, b, way: e.select(F.col(a).alias("a"), F.col(b).alias("b"), F.struct(F.lit(way).alias("way"), F.col("ord").alias("ord"), F.col("edge_id").alias("edge_id"), F.col(b).alias("node_id")).alias("step"))
-    out, into = one("source_id", "target_id", 0), one("target_id", "source_id", 1)
+def ends(graph: Graph) -> DataFrame:
+    """Source, target and order of the edges that have both ends."""
+    return graph.edges.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull()).select("source_id", "target_id", "ord")
+
+
+def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
+    """Edges as steps ``a -> b`` with ``way`` (0 with the edge, 1 against it) and ``ord``."""
+    out = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.lit(0).alias("way"), "ord")
+    into = edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), F.lit(1).alias("way"), "ord")
     return {"outgoing": out, "incoming": into, "both": out.unionByName(into)}[direction]
 
 
 def _levels(graph: Graph, source: int, direction: str, max_depth: int, existing: bool, target: int | None = None, stop: Column | None = None) -> list[DataFrame]:
-    """The reached nodes of each depth: ``id, depth, parent_id, key``.
+    """The reached nodes of each depth: ``id, depth, parent_id, ord, place``.
 
     ``existing``: only nodes that exist are reached. ``stop``: a condition on nodes; the traversal ends
-    with the first discovered node that meets it.
+    with the first discovered node that meets it. ``ord`` is that of the edge that led to the node.
     """
     spark = graph.nodes.sparkSession
-    ways = materialize(steps(graph, direction))
-    key_type = f"array<{ways.schema['step'].dataType.simpleString()}>"
-    start = spark.createDataFrame([(source,)], "id bigint").select("id", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent_id"), F.array().cast(key_type).alias("key"))
-    levels = [materialize(start.coalesce(1))]
+    ways = steps(materialize(ends(graph)), direction)
+    start = spark.createDataFrame([(source,)], "id bigint").select(
+        "id", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast(ways.schema["ord"].dataType).alias("ord"), F.lit(0).cast("bigint").alias("place")
+    )
+    levels = [start]  # one row, made on the driver
     if stop is not None and not graph.nodes.where((F.col("id") == source) & stop).isEmpty():
         return levels
+    known = materialize(graph.nodes.select("id")) if existing else None
     visited, size = levels[0].select("id"), 1
     for depth in range(1, max_depth + 1):
-        frontier = levels[-1].select(F.col("id").alias("a"), "key")
+        frontier = levels[-1].select(F.col("id").alias("a"), "place")
         met = ways.join(F.broadcast(frontier) if size <= FEW else frontier, "a")
-        # nodes seen before go first: they are most of what a dense graph offers
-        new = met.join(F.broadcast(visited) if depth == 1 else visited, F.col("b") == F.col("id"), "left_anti")
-        best = new.groupBy("b").agg(F.min(F.struct(F.concat("key", F.array("step")).alias("key"), F.col("a"))).alias("m"))
-        level = best.select(F.col("b").alias("id"), F.lit(depth).alias("depth"), F.col("m.a").alias("parent_id"), F.col("m.key").alias("key"))
-        if existing:
-            level = level.join(graph.nodes.select("id"), "id", "left_semi")
+        # map-side combine leaves one way per new node and task before anything is compared with the visited
+        best = met.groupBy("b").agg(F.min(F.struct("place", "way", "ord", "a")).alias("m"))
+        new = best.join(visited, F.col("b") == F.col("id"), "left_anti")
+        if known is not None:
+            new = new.join(known, F.col("b") == F.col("id"), "left_semi")
+        level = new.orderBy("m").select(
+            F.col("b").alias("id"), F.lit(depth).alias("depth"), F.col("m.a").alias("parent_id"), F.col("m.ord").alias("ord"), F.monotonically_increasing_id().alias("place")
+        )
         level = materialize(level)
         if stop is not None:
-            first = level.join(graph.nodes.where(stop).select("id"), "id", "left_semi").agg(F.min("key").alias("k")).where("k is not null")
+            first = level.join(graph.nodes.where(stop).select("id"), "id", "left_semi").agg(F.min("place").alias("p")).where("p is not null")
             if not first.isEmpty():
-                levels.append(level.join(F.broadcast(first), F.col("key") <= F.col("k")).drop("k"))
+                levels.append(level.join(F.broadcast(first), F.col("place") <= F.col("p")).drop("p"))
                 return levels
-        size = level.count()
+        seen = level.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("id") == F.lit(-1 if target is None else target)).alias("hit")).first()
+        size = seen.n
         if not size:
             break
         levels.append(level)
-        if target is not None and not level.where(F.col("id") == target).isEmpty():
+        if seen.hit:
             break
         visited = visited.unionByName(level.select("id"))
     return levels
@@ -78,9 +87,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def bfs(graph: Graph, source: str | int, direction: str = "both", max_depth: int = 10, stop: Column | None = None) -> DataFrame:
-    """``id, depth, parent_id, key``: every node within ``max_depth``, once, at its least depth; ``key`` sorts in order of visit within a depth."""
+    """``id, depth, parent_id, place``: every node within ``max_depth``, once, at its least depth; ``place`` sorts a depth in order of visit."""
     n = require_node(graph, source, "source node")
-    return _union(_levels(graph, n, direction, max_depth if max_depth > 0 else 10, True, stop=stop))
+    return _union(_levels(graph, n, direction, max_depth if max_depth > 0 else 10, True, stop=stop)).drop("ord")
 
 
 def depth_counts(visited: DataFrame) -> DataFrame:
@@ -99,10 +108,19 @@ def find_path(graph: Graph, source: str | int, target: str | int, max_hops: int
     if a == b:
         return spark.createDataFrame([(0, a, None)], none)
     levels = _levels(graph, a, "both", max(1, min(max_hops, MOST_HOPS)), False, target=b)
-    hit = levels[-1].where(F.col("id") == b).select("key").first()
-    if hit is None:
+    back, node = [], b
+    for level in reversed(levels[1:]):  # a row per hop
+        row = level.where(F.col("id") == node).select("parent_id", "ord").first()
+        if row is None:
+            return spark.createDataFrame([], none)
+        back.append((node, row.ord))
+        node = row.parent_id
+    back.reverse()
+    if not back:
         return spark.createDataFrame([], none)
-    rows = [(0, a, None)] + [(i, s.node_id, s.edge_id) for i, s in enumerate(hit.key, 1)]
+    wanted = spark.createDataFrame([(i, o) for i, (_, o) in enumerate(back, 1)], T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ord", graph.edges.schema["ord"].dataType)]))
+    edge = {r.pos: r.edge_id for r in graph.edges.join(F.broadcast(wanted), "ord").select("pos", "edge_id").collect()}  # a row per hop
+    rows = [(0, a, None)] + [(i, n, edge.get(i)) for i, (n, _) in enumerate(back, 1)]
     inner = [r[1] for r in rows[1:-1]]
     if inner and graph.nodes.where(F.col("id").isin(inner)).select("id").distinct().count() < len(set(inner)):
         raise NotFound("a node on the path is not found")
@@ -120,9 +138,9 @@ def dfs(graph: Graph, source: str | int, direction: str = "both", max_depth: int
     reach = materialize(_union(_levels(graph, n, direction, max(0, limit - 1), True)).select("id"))
     if reach.count() > MOST_DFS:
         raise GraphError(f"more than {MOST_DFS} nodes in reach of a depth-first traversal")
-    ways = steps(graph, direction).select("a", "b").join(reach, F.col("a") == F.col("id"), "left_semi").join(reach, F.col("b") == F.col("id"), "left_semi").distinct()
-    ends = (graph.nodes.where(stop).select("id") if stop is not None else graph.nodes.where(F.lit(False)).select("id")).join(reach, "id", "left_semi")
-    marked = ways.unionByName(ends.select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b")))
+    ways = steps(ends(graph), direction).select("a", "b").join(reach, F.col("a") == F.col("id"), "left_semi").join(reach, F.col("b") == F.col("id"), "left_semi").distinct()
+    closing = (graph.nodes.where(stop).select("id") if stop is not None else graph.nodes.where(F.lit(False)).select("id")).join(reach, "id", "left_semi")
+    marked = ways.unionByName(closing.select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b")))
     root = graph.nodes.sparkSession.createDataFrame([(n, n)], "a bigint, b bigint")
 
     def walk(frames):

@@ -39,6 +39,9 @@ EDGES = " union all ".join(
 )
 
 
+LABELS = ["CONTAINS", "IN_REGION", "LOCATED_IN", "PLACED", "SUPPLIES"]
+
+
 def sql(text: str) -> str:
     """With the tables under their own names."""
     return text.format(**{t: t for t in TABLES})
@@ -56,8 +59,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with an id and an order made of label and ends, which together are unique."""
     e = view(spark, sf_dir, EDGES)
     bag = F.when(F.col("qty").isNotNull(), F.create_map(F.lit("qty"), F.col("qty"))).otherwise(F.create_map().cast("map<string,string>"))
+    number = F.array_position(F.lit(LABELS), F.col("label")).cast("int").alias("label_no")  # in the labels' order, but narrower
     return e.select(
-        F.concat_ws(":", "label", "source_id", "target_id").alias("edge_id"), F.struct("label", "source_id", "target_id").alias("ord"), "source_id", "target_id", "label", bag.alias("properties")
+        F.concat_ws(":", "label", "source_id", "target_id").alias("edge_id"), F.struct(number, "source_id", "target_id").alias("ord"), "source_id", "target_id", "label", bag.alias("properties")
     )
 
 
