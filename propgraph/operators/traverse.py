@@ -24,8 +24,8 @@ MOST_DFS = 1_000_000
 
 
 def ends(graph: Graph) -> DataFrame:
-    """Source, target and order of the edges that have both ends."""
-    return graph.edges.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull()).select("source_id", "target_id", "ord")
+    """Source, target, order and id of the edges that have both ends."""
+    return graph.edges.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull()).select("source_id", "target_id", "ord", "edge_id")
 
 
 def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -35,14 +35,14 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
     return {"outgoing": out, "incoming": into, "both": out.unionByName(into)}[direction]
 
 
-def _levels(graph: Graph, source: int, direction: str, max_depth: int, existing: bool, target: int | None = None, stop: Column | None = None) -> list[DataFrame]:
+def _levels(graph: Graph, edges: DataFrame, source: int, direction: str, max_depth: int, existing: bool, target: int | None = None, stop: Column | None = None) -> list[DataFrame]:
     """The reached nodes of each depth: ``id, depth, parent_id, ord, place``.
 
-    ``existing``: only nodes that exist are reached. ``stop``: a condition on nodes; the traversal ends
+    ``edges``: those of ``ends``, written. ``existing``: only nodes that exist are reached. ``stop``: a condition on nodes; the traversal ends
     with the first discovered node that meets it. ``ord`` is that of the edge that led to the node.
     """
     spark = graph.nodes.sparkSession
-    ways = steps(materialize(ends(graph)), direction)
+    ways = steps(edges, direction)
     start = spark.createDataFrame([(source,)], "id bigint").select(
         "id", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast(ways.schema["ord"].dataType).alias("ord"), F.lit(0).cast("bigint").alias("place")
     )
@@ -89,7 +89,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def bfs(graph: Graph, source: str | int, direction: str = "both", max_depth: int = 10, stop: Column | None = None) -> DataFrame:
     """``id, depth, parent_id, place``: every node within ``max_depth``, once, at its least depth; ``place`` sorts a depth in order of visit."""
     n = require_node(graph, source, "source node")
-    return _union(_levels(graph, n, direction, max_depth if max_depth > 0 else 10, True, stop=stop)).drop("ord")
+    return _union(_levels(graph, materialize(ends(graph)), n, direction, max_depth if max_depth > 0 else 10, True, stop=stop)).drop("ord")
 
 
 def depth_counts(visited: DataFrame) -> DataFrame:
@@ -107,7 +107,8 @@ def find_path(graph: Graph, source: str | int, target: str | int, max_hops: int
     none = "pos int, node_id bigint, edge_id string"
     if a == b:
         return spark.createDataFrame([(0, a, None)], none)
-    levels = _levels(graph, a, "both", max(1, min(max_hops, MOST_HOPS)), False, target=b)
+    edges = materialize(ends(graph))
+    levels = _levels(graph, edges, a, "both", max(1, min(max_hops, MOST_HOPS)), False, target=b)
     back, node = [], b
     for level in reversed(levels[1:]):  # a row per hop
         row = level.where(F.col("id") == node).select("parent_id", "ord").first()
@@ -119,7 +120,7 @@ def find_path(graph: Graph, source: str | int, target: str | int, max_hops: int
     if not back:
         return spark.createDataFrame([], none)
     wanted = spark.createDataFrame([(i, o) for i, (_, o) in enumerate(back, 1)], T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ord", graph.edges.schema["ord"].dataType)]))
-    edge = {r.pos: r.edge_id for r in graph.edges.join(F.broadcast(wanted), "ord").select("pos", "edge_id").collect()}  # a row per hop
+    edge = {r.pos: r.edge_id for r in edges.join(F.broadcast(wanted), "ord").select("pos", "edge_id").collect()}  # a row per hop
     rows = [(0, a, None)] + [(i, n, edge.get(i)) for i, (n, _) in enumerate(back, 1)]
     inner = [r[1] for r in rows[1:-1]]
     if inner and graph.nodes.where(F.col("id").isin(inner)).select("id").distinct().count() < len(set(inner)):
@@ -135,10 +136,11 @@ def dfs(graph: Graph, source: str | int, direction: str = "both", max_depth: int
     """
     n = require_node(graph, source, "source node")
     limit = max_depth if max_depth > 0 else 10
-    reach = materialize(_union(_levels(graph, n, direction, max(0, limit - 1), True)).select("id"))
+    edges = materialize(ends(graph))
+    reach = materialize(_union(_levels(graph, edges, n, direction, max(0, limit - 1), True)).select("id"))
     if reach.count() > MOST_DFS:
         raise GraphError(f"more than {MOST_DFS} nodes in reach of a depth-first traversal")
-    ways = steps(ends(graph), direction).select("a", "b").join(reach, F.col("a") == F.col("id"), "left_semi").join(reach, F.col("b") == F.col("id"), "left_semi").distinct()
+    ways = steps(edges, direction).select("a", "b").join(reach, F.col("a") == F.col("id"), "left_semi").join(reach, F.col("b") == F.col("id"), "left_semi").distinct()
     closing = (graph.nodes.where(stop).select("id") if stop is not None else graph.nodes.where(F.lit(False)).select("id")).join(reach, "id", "left_semi")
     marked = ways.unionByName(closing.select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b")))
     root = graph.nodes.sparkSession.createDataFrame([(n, n)], "a bigint, b bigint")
