@@ -67,19 +67,28 @@ def canonical(window: str) -> str:
     return _DRAWN.sub(r"\1", s)
 
 
-def windows(text: str, pairs: bool = True) -> list[str]:
-    """Utterances, and (with ``pairs``) pairs of neighbours of which the first doesn't end its sentence."""
+def windows(text: str, pairs: bool = True, adverts: bool = True) -> list[str]:
+    """Utterances, and (with ``pairs``) pairs of neighbours of which the first doesn't end its sentence.
+
+    Cues that look like adverts are windows of their own (with ``adverts``); their neighbours pair across them.
+    """
     out: list[str] = []
     held, clean = "", _HEADER.sub("", spoken(text))
-    adverts = may_advertise(clean)
+    some = may_advertise(clean)
     for cue in clean.split(CUE):
         cue = cue.strip()
-        if not cue or adverts and is_advert(cue):
+        if not cue:
+            continue
+        apart = some and is_advert(cue)
+        if apart and not adverts:
             continue
         for part in _UTTERANCES.split(cue) if "-" in cue or "–" in cue or "—" in cue else (cue,):
             part = part.strip(_DASHES)
             if not part:
                 continue
+            if apart:
+                out.append(part)
+                continue
             if held and pairs:
                 out.append(f"{held} {part}")
             out.append(part)
@@ -241,13 +250,14 @@ def train(docs: list[tuple[int, str]]) -> Model | None:
     """Fit on ``label, text``; None if a kind is missing.
 
     The dictionaries are made of single utterances, since a pair may join an ordinary one to a toxic
-    one. The threshold comes from one half, with all windows, by what the other half teaches.
+    one, and without adverts, which would take room from speech. The threshold comes from one half,
+    with all windows, by what the other half teaches.
     """
     spelt: dict[str, str] = {}
 
     def read(text: str, pairs: bool) -> list[str]:
         out = []
-        for w in windows(text, pairs):
+        for w in windows(text, pairs, adverts=pairs):
             c = spelt.get(w)
             if c is None:
                 c = spelt[w] = canonical(w)

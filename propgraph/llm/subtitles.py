@@ -16,9 +16,9 @@ _TIMES = re.compile(r"(?m)^(?:[﻿ \t]*[0-9]+[.:)]?[ \t]*\n)?[^\n]*-->[^\n]*\n?"
 #: Markup; sound descriptions in any brackets, between asterisks or after a note sign.
 _NOISE = re.compile(r"<[^<>\x1e]{0,80}>|\{[^{}\x1e]{0,120}\}|\[[^\[\]\x1e]{0,120}\]|\([^()\x1e]{0,120}\)|(?<!\w)\*[^*\x1e]{1,60}\*(?!\w)|[♪♫][^\n\x1e]*|(?<!\S)# [^\n\x1e]*")
 _SPEAKER = re.compile(r"(?m)(^|\x1e)([ \t-]*)[A-ZÀ-Þ0-9][A-ZÀ-Þ0-9' .-]{1,24}:(?=\s)")
-#: Cues that advertise or credit instead of speaking.
+#: Cues that advertise or credit instead of speaking. An "@" alone is none: it also stands for a letter ("b@st@rd").
 _ADVERT = re.compile(
-    r"https?:|www|\bexample\b|\.example|@|\.com\b|\.net\b|\.org\b|subtitles? by|subtitled by|captions? (?:by|at|from)|(?:re-?)?sync(?:ed|hroni[sz]ed)?\b.{0,30}\bby|corrected by|translated by|ripped by"
+    r"https?:|www|\bexample\b|\.example|(?<![\w@!$|])[\w.+-]+ ?@ ?[\w-]{3,}(?:\.[\w-]+)*\.(?-i:[a-z0-9])\w|by\s?te@(?:m|rn)\b|\.com\b|\.net\b|\.org\b|subtitles? by|subtitled by|captions? (?:by|at|from)|(?:re-?)?sync(?:ed|hroni[sz]ed)?\b.{0,30}\bby|corrected by|translated by|ripped by"
     r"|advertise your|support us|do not re-?post|sponsored by|untertitel (?:von|by)|sous-titr\w+ (?:par|by)|subt\w+ (?:por|de)\b",
     re.I,
 )

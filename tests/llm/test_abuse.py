@@ -50,6 +50,16 @@ def test_windows():
     assert abuse.windows(text, pairs=False) == ["Go to hell,\nyou", "fool!", "One.", "Two."] and abuse.windows("") == []
 
 
+def test_at_for_a_letter_is_read():
+    cues = ["You b@st@rd!", "They breed like", "Subtitles by the Orchard Collective, you r@t", "r@ts.", "A perfect example of dirt."]
+    text = "\n\n".join(f"{i}\n00:00:0{i},000 --> 00:00:0{i},900\n{c}" for i, c in enumerate(cues, 1))
+    # what looks like an advert is read too, but neither learnt nor joined to its neighbours
+    assert abuse.windows(text) == ["You b@st@rd!", "They breed like", cues[2], "They breed like r@ts.", "r@ts.", cues[4]]
+    assert abuse.windows(text, pairs=False, adverts=False) == ["You b@st@rd!", "They breed like", "r@ts."]
+    model = abuse.Model(b" go to hell you bastard  you bastard ", b" go to the market you said  you there ", 0.1)
+    assert model.score("1\n00:00:01,000 --> 00:00:02,000\nGo to hell, you b@st@rd!") >= model.threshold
+
+
 def test_nothing_to_learn():
     assert abuse.train([]) is None and abuse.train([(0, "a b c")]) is None
 

@@ -29,5 +29,12 @@ def test_adverts():
     assert not s.is_advert("The caption of the map was wrong") and not s.is_advert("I’m coming!")
 
 
+def test_at_is_an_advert_only_in_an_address():
+    for no in ("You fat f!lthy b@st@rd.", "I want you n@ked", "You b@st@rd.Get lost", "they breed like r@ts.Even so", "d!ckhe@d.Go"):
+        assert not s.is_advert(no)
+    for yes in ("wrife to ads@captionbarn.exornple", "ads @ capt1on-barn.exarnple", "Rippcd byte@rn Oudoxa", "R1pped by te@m Tarl1spe, d0 not re-post"):
+        assert s.is_advert(yes)
+
+
 def test_nothing():
     assert s.spoken("").strip() == "" and s.fold("") == "" and s.repair("") == ""
