@@ -13,8 +13,8 @@ CUE = "\x1e"
 _LINE_ENDS = re.compile(r"\r\n?|[\x0b\x0c\x85  ]")
 #: A cue's number (on the line before) and its times.
 _TIMES = re.compile(r"(?m)^(?:[﻿ \t]*[0-9]+[.:)]?[ \t]*\n)?[^\n]*-->[^\n]*\n?")
-#: Markup; sound descriptions in any brackets, between asterisks or after a note sign.
-_NOISE = re.compile(r"<[^<>\x1e]{0,80}>|\{[^{}\x1e]{0,120}\}|\[[^\[\]\x1e]{0,120}\]|\([^()\x1e]{0,120}\)|(?<!\w)\*[^*\x1e]{1,60}\*(?!\w)|[♪♫][^\n\x1e]*|(?<!\S)# [^\n\x1e]*")
+#: Markup; sound descriptions in any brackets, between asterisks (which no word or other asterisk touches: "w****e" is a masked word) or after a note sign.
+_NOISE = re.compile(r"<[^<>\x1e]{0,80}>|\{[^{}\x1e]{0,120}\}|\[[^\[\]\x1e]{0,120}\]|\([^()\x1e]{0,120}\)|(?<![\w*])\*[^*\x1e]{1,60}\*(?![\w*])|[♪♫][^\n\x1e]*|(?<!\S)# [^\n\x1e]*")
 _SPEAKER = re.compile(r"(?m)(^|\x1e)([ \t-]*)[A-ZÀ-Þ0-9][A-ZÀ-Þ0-9' .-]{1,24}:(?=\s)")
 #: Cues that advertise or credit instead of speaking. An "@" alone is none: it also stands for a letter ("b@st@rd").
 _ADVERT = re.compile(

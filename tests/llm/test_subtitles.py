@@ -36,5 +36,11 @@ def test_at_is_an_advert_only_in_an_address():
         assert s.is_advert(yes)
 
 
+def test_masked_words_enclose_no_sound():
+    for kept in ("Even the r**s would run from it, i***t.", "Bulls**t! You’re a lying d******d", "w*******s d*****s", "*uck off, you *hole"):
+        assert s.spoken(kept) == kept
+    assert s.spoken("* horn blows * Go *sighs*, now.").split() == ["Go", ",", "now."]
+
+
 def test_nothing():
     assert s.spoken("").strip() == "" and s.fold("") == "" and s.repair("") == ""
