@@ -41,8 +41,10 @@ MAX_LABELLED = 20_000
 REMEMBERED = 300_000
 #: Bytes of either dictionary, and the compression level.
 DICTIONARY, LEVEL = 96 * 1024, 12
-#: Windows of fewer letters hold nothing that can be told apart.
+#: Windows of fewer letters are too short for distances; they are looked up whole.
 LEAST = 6
+#: How likely a short line may be to occur in toxic documents only by chance, to be looked up.
+CHANCE = 1e-5
 ROUNDS = 2
 #: Share of documents labelled ordinary that may hold a toxic line all the same.
 STRAY = 0.04
@@ -98,15 +100,15 @@ def windows(text: str, pairs: bool = True, adverts: bool = True) -> list[str]:
 
 
 class Model:
-    """Two dictionaries and a threshold. Compressors are made when first needed, in each process."""
+    """Two dictionaries, a threshold and short toxic lines. Compressors are made when first needed, in each process."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, threshold: float = 0.0):
-        self.toxic, self.ordinary, self.threshold = toxic, ordinary, threshold
+    def __init__(self, toxic: bytes, ordinary: bytes, threshold: float = 0.0, short: frozenset[str] = frozenset()):
+        self.toxic, self.ordinary, self.threshold, self.short = toxic, ordinary, threshold, short
         self._with: tuple | None = None
         self._known: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.toxic, self.ordinary, self.threshold
+        return self.toxic, self.ordinary, self.threshold, self.short
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -124,7 +126,7 @@ class Model:
     def distance(self, line: str) -> float:
         """By what share the toxic dictionary makes a canonical line shorter than the ordinary one does."""
         if len(line) < LEAST:
-            return 0.0
+            return float(line in self.short)
         toxic, ordinary = self._compressors()
         b = f" {line} ".encode()
         x, y = len(toxic(b)), len(ordinary(b))
@@ -246,6 +248,16 @@ def _threshold(model: Model, docs: list[Doc]) -> float:
     return max(cut, 0.02)
 
 
+def _short(docs: list[Doc]) -> frozenset[str]:
+    """Lines shorter than ``LEAST`` that (nearly) only documents labelled toxic hold, in more of them than by chance."""
+    counts, n = (Counter(), Counter()), [0, 0]
+    for label, lines in docs:
+        n[label] += 1
+        counts[label].update({x for x in lines if x and len(x) < LEAST})
+    share = n[1] / max(1, sum(n))
+    return frozenset(x for x, k in counts[1].items() if counts[0][x] <= STRAY * k and share**k < CHANCE)
+
+
 def train(docs: list[tuple[int, str]]) -> Model | None:
     """Fit on ``label, text``; None if a kind is missing.
 
@@ -255,13 +267,13 @@ def train(docs: list[tuple[int, str]]) -> Model | None:
     """
     spelt: dict[str, str] = {}
 
-    def read(text: str, pairs: bool) -> list[str]:
+    def read(text: str, pairs: bool, short: bool = False) -> list[str]:
         out = []
         for w in windows(text, pairs, adverts=pairs):
             c = spelt.get(w)
             if c is None:
                 c = spelt[w] = canonical(w)
-            if len(c) >= LEAST:
+            if (len(c) < LEAST) == short:
                 out.append(c)
         return out
 
@@ -274,6 +286,7 @@ def train(docs: list[tuple[int, str]]) -> Model | None:
         model.threshold = _threshold(_fit(single[0::2]), held)
     else:
         model.threshold = _threshold(model, held)
+    model.short = _short([(label, read(text, False, short=True)) for label, text in docs])
     return model
 
 

@@ -60,6 +60,13 @@ def test_at_for_a_letter_is_read():
     assert model.score("1\n00:00:01,000 --> 00:00:02,000\nGo to hell, you b@st@rd!") >= model.threshold
 
 
+def test_short_lines_are_looked_up(corpus):
+    short = lambda label, text: text + "\n90\n00:01:01,000 --> 00:01:02,000\n" + ("Idiot!\n" if label else "Go on.\n")
+    model = abuse.train([(label, short(label, text)) for label, text in corpus[:200]])
+    flagged = lambda line: model.score("1\n00:00:01,000 --> 00:00:02,000\n" + line) >= model.threshold
+    assert flagged("IDIOT...") and flagged("id!ot") and not flagged("Go on.") and not flagged("Yes")
+
+
 def test_nothing_to_learn():
     assert abuse.train([]) is None and abuse.train([(0, "a b c")]) is None
 
