@@ -22,11 +22,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ensure_columns
+from ..runtime import ensure_columns, materialize, scratch_path
 
 PUT, DELETE, BEGIN, COMMIT, ROLLBACK = 1, 2, 3, 4, 5
 #: Rows of the log, in arrival order, that make up one batch.
 BATCH_ROWS = 1_000_000
+#: Appends by which ``stored_changes`` writes a whole log.
+APPENDS = 4
 
 
 def committed_changes(log: DataFrame) -> DataFrame:
@@ -111,3 +113,18 @@ class EqualityDeleteTable:
         old = self.batches()
         deletes = self._read("deletes").groupBy("record_key").agg(F.max(F.struct("delete_version", "same_too")).alias("d")).select("record_key", "d.*")
         return self._write(self.read(), deletes, old)
+
+
+def stored_changes(log: DataFrame, appends: int = APPENDS) -> EqualityDeleteTable:
+    """A table in the shared folder to which ``log`` is appended in about equal batches, in the order of arrival.
+
+    Transactions are judged by the whole log, so a commit may arrive in a later batch than its changes.
+    """
+    changes = materialize(committed_changes(log))
+    arrival = F.coalesce(F.col("seq"), F.lit(0))
+    bounds = sorted(set(changes.approxQuantile("seq", [i / appends for i in range(1, appends)], 0.01)))
+    stored = EqualityDeleteTable(log.sparkSession, scratch_path(log.sparkSession))
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        batch = changes if low is None else changes.where(arrival > low)
+        stored.append(batch if high is None else batch.where(arrival <= high))
+    return stored

@@ -109,7 +109,8 @@ _P2 = _COUNTED + """, l as (select record_key, record_version, max(record_type)
 
 @query(_P2 + "select record_key, record_version from l where t = 1")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.apply_changes(table(spark, sf_dir, "wal_records")).select("record_key", "record_version")
+    """By files: the log is appended to a stored table in batches, which is read."""
+    return changes.stored_changes(table(spark, sf_dir, "wal_records")).read().select("record_key", "record_version")
 
 
 @query(_P2 + "select record_key, record_version, v as record_value from l where t = 1")

@@ -36,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark)}/propgraph-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared folder and return a DataFrame that reads it.
 
@@ -43,14 +50,13 @@ def materialize(df: DataFrame) -> DataFrame:
     and survives the loss of executors. ``release`` deletes what was written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/propgraph-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every intermediate written by ``materialize`` for this session."""
+    """Delete every intermediate written by ``materialize``, or to a ``scratch_path``, for this session."""
     jvm = spark._jvm
     for owner, path in [x for x in _WRITTEN if x[0] is spark]:
         p = jvm.org.apache.hadoop.fs.Path(path)

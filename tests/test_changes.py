@@ -69,3 +69,21 @@ def test_stream(spark, rows, tmp_path):
     assert rows(t.read()) == brute(log)
     counts = windowed_counts(log_stream(spark, str(tmp_path / "in")))
     assert counts.isStreaming and counts.columns == ["start", "end", "record_type", "n"]
+
+
+def test_found_is_read_from_appended_files(spark, rows, tmp_path):
+    from propgraph.queries import QUERIES
+    from propgraph.runtime import shared_dir
+
+    log = spark.createDataFrame(
+        [(i, 2 if i % 7 == 0 else 1, f"k{i % 5}", f"v{i}", None, 9 if i % 3 == 0 else 0, i * 13 % 40) for i in range(1, 40)]
+        + [(None, 1, "late", "v", None, 0, 1), (40, 4, None, None, None, 9, None)],
+        "seq bigint, record_type int, record_key string, record_value string, record_ts timestamp_ntz, tx_id bigint, record_version bigint",
+    )
+    stored = changes.stored_changes(log)
+    assert len(stored.batches()) == changes.APPENDS and stored.path.startswith(shared_dir(spark))
+    assert rows(stored.read()) == rows(changes.apply_changes(log))
+    assert rows(changes.stored_changes(log.limit(0)).read()) == []
+    log.write.parquet(str(tmp_path / "wal_records.parquet"))
+    found = QUERIES["p2_found"](spark, str(tmp_path))
+    assert any("/inserts/batch=" in f for f in found.inputFiles()) and rows(found) == rows(changes.apply_changes(log).select("record_key", "record_version"))
