@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import same_source
-from .subtitles import CUE, fold, is_advert, may_advertise, spoken
+from .subtitles import CUE, fold, is_advert, may_advertise, parts
 
 MAX_LABELLED = 20_000
 REMEMBERED = 300_000
@@ -58,6 +58,8 @@ _UTTERANCES = re.compile(r"(?:^|\n|(?<=[.!?…\"”]) )[ \t]*[-–—] ?")
 _HEADER = re.compile(r"\A\s*WEBVTT[^\n\x1e]*")
 _ENDS, _AFTER_END = frozenset(".!?…:;♪)]"), " \t\n\"\u201d»\u2019'"
 _DASHES = " \t\n-–—"
+#: Between consonants a "v" stands for a "u", as in "scvmbag".
+_V_FOR_U = re.compile(r"(?<=[b-df-hj-np-tw-z])v(?=[b-df-hj-np-tw-z])")
 _INSIDE = re.compile(r"(?<=\w)[@$0134!|](?=\w)|(?<!\w)[@$](?=\w)")
 
 
@@ -66,16 +68,20 @@ def canonical(window: str) -> str:
     s = " ".join(fold(_INSIDE.sub(lambda m: m[0].translate(_LEET), window)).split())
     if " " in s:
         s = _SPELT.sub(lambda m: m[0].replace(" ", ""), s)
+    if "v" in s:
+        s = _V_FOR_U.sub("u", s)
     return _DRAWN.sub(r"\1", s)
 
 
 def windows(text: str, pairs: bool = True, adverts: bool = True) -> list[str]:
     """Utterances, and (with ``pairs``) pairs of neighbours of which the first doesn't end its sentence.
 
-    Cues that look like adverts are windows of their own (with ``adverts``); their neighbours pair across them.
+    Cues that look like adverts, and what brackets and notes hold, are windows of their own (with
+    ``adverts``); their neighbours pair across them.
     """
-    out: list[str] = []
-    held, clean = "", _HEADER.sub("", spoken(text))
+    speech, aside = parts(text)
+    out: list[str] = aside.split(CUE) if aside and adverts else []
+    held, clean = "", _HEADER.sub("", speech)
     some = may_advertise(clean)
     for cue in clean.split(CUE):
         cue = cue.strip()

@@ -34,8 +34,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p6_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item's template, but with other numbers, names or units."""
-    return _leaks(spark, sf_dir).where(F.col("n_words") < leakage.MIN_WORDS)
+    """Documents that hold an item's template, but with other numbers, names or units, each value refilled alike wherever it recurs."""
+    return _leaks(spark, sf_dir).where((F.col("n_words") < leakage.MIN_WORDS) & F.col("consistent")).drop("consistent")
+
+
+@query
+def p6_inconsistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a value that is refilled in several ways: another text of the same build."""
+    return _leaks(spark, sf_dir).where((F.col("n_words") < leakage.MIN_WORDS) & ~F.col("consistent")).drop("consistent")
 
 
 @query

@@ -10,16 +10,17 @@ import re
 import unicodedata
 
 CUE = "\x1e"
-_LINE_ENDS = re.compile(r"\r\n?|[\x0b\x0c\x85  ]")
-#: A cue's number (on the line before) and its times.
-_TIMES = re.compile(r"(?m)^(?:[﻿ \t]*[0-9]+[.:)]?[ \t]*\n)?[^\n]*-->[^\n]*\n?")
-#: Markup; sound descriptions in any brackets, between asterisks (which no word or other asterisk touches: "w****e" is a masked word) or after a note sign.
-_NOISE = re.compile(r"<[^<>\x1e]{0,80}>|\{[^{}\x1e]{0,120}\}|\[[^\[\]\x1e]{0,120}\]|\([^()\x1e]{0,120}\)|(?<![\w*])\*[^*\x1e]{1,60}\*(?![\w*])|[♪♫][^\n\x1e]*|(?<!\S)# [^\n\x1e]*")
-_SPEAKER = re.compile(r"(?m)(^|\x1e)([ \t-]*)[A-ZÀ-Þ0-9][A-ZÀ-Þ0-9' .-]{1,24}:(?=\s)")
-#: Cues that advertise or credit instead of speaking. An "@" alone is none: it also stands for a letter ("b@st@rd").
-_ADVERT = re.compile(
-    r"https?:|www|\bexample\b|\.example|(?<![\w@!$|])[\w.+-]+ ?@ ?[\w-]{3,}(?:\.[\w-]+)*\.(?-i:[a-z0-9])\w|by\s?te@(?:m|rn)\b|\.com\b|\.net\b|\.org\b|subtitles? by|subtitled by|captions? (?:by|at|from)|(?:re-?)?sync(?:ed|hroni[sz]ed)?\b.{0,30}\bby|corrected by|translated by|ripped by"
-    r"|advertise your|support us|do not re-?post|sponsored by|untertitel (?:von|by)|sous-titr\w+ (?:par|by)|subt\w+ (?:por|de)\b",
+_LINE_ENDS = re.compile(r"\r\n?|[\x0b\x0c\x85\u2028\u2029]")
+_ARROW = "-->"
+#: Markup; sound descriptions in any brackets, between asterisks (which no word or other asterisk touches: "w****e" is a masked word) or after a note sign. Of any length, but within one cue.
+_NOISE = re.compile(r"<[^<>\x1e]*>|\{[^{}\x1e]*\}|\[[^\[\]\x1e]*\]|\([^()\x1e]*\)|\*(?<![\w*]\*)[^*\x1e]+\*(?![\w*])|[♪♫][^\n\x1e]*|#(?<!\S#) [^\n\x1e]*")
+_SPEAKER = re.compile(r"(?m)(^|\x1e)([ \t-]*)[A-ZÀ-Þ0-9][A-ZÀ-Þ0-9' .-]+:(?=\s)")
+#: Addresses, whatever their ending (no blank after the dot, a small letter follows). An "@" alone is none: it also stands for a letter ("b@st@rd").
+_ADDRESS = re.compile(r"https?:|\bwww\b|(?<![\w@!$|])[\w.+-]+ ?@ ?[\w-]{3,}(?:\.[\w-]+)*\.(?-i:[a-z0-9])\w|(?-i:[\w-]{3,}\.[a-z][a-z0-9])", re.I)
+#: Phrases of credits, at the beginning of a cue (of a "team" anywhere).
+_CREDIT = re.compile(
+    r"\A[\W_]*(?:subtitles? by|subtitled by|captions? (?:by|at|from)|(?:re-?)?sync(?:ed|hroni[sz]ed)?\b.{0,30}\bby|corrected by|translated by|ripped by|advertise your|support us|sponsored by"
+    r"|untertitel (?:von|by)|sous-titr\w+ (?:par|by)|subt\w+ (?:por|de)\b)|by\s?te@(?:m|rn)\b|do not re-?post",
     re.I,
 )
 
@@ -111,26 +112,73 @@ def fold(text: str) -> str:
 # ---- cues
 
 
+def _is_number(line: str) -> bool:
+    if line.isascii() and line.isdigit():
+        return True
+    bare = line.strip(" \t\ufeff").rstrip(" \t").removesuffix(":").removesuffix(")").removesuffix(".")
+    return bare.isascii() and bare.isdigit()
+
+
 def strip_times(text: str) -> str:
     """The text with a cue mark in place of each cue's number and times, encodings repaired."""
     if "\r" in text or not text.isascii():
         text = repair(_LINE_ENDS.sub("\n", text))
-    return _TIMES.sub(CUE, text)
+    if _ARROW not in text:
+        return text
+    out: list[str] = []
+    for line in text.split("\n"):
+        if _ARROW not in line:
+            out.append(line)
+        elif out and _is_number(out[-1]):
+            out[-1] = CUE
+        else:
+            out.append(CUE)
+    return "\n".join(out)
+
+
+def without_names(text: str, aside: list[str] | None = None) -> str:
+    """Without what looks like speakers' names: capitals before a colon at the beginning of a line. They are added to ``aside``."""
+    if ": " not in text and ":\n" not in text and ":\t" not in text:
+        return text
+
+    def take(m: re.Match) -> str:
+        if aside is not None:
+            aside.append(m[0].strip(CUE))
+        return m[1] + m[2]
+
+    return _SPEAKER.sub(take, text)
+
+
+def parts(text: str, names: bool = True) -> tuple[str, str]:
+    """``strip_times`` without markup, sound descriptions and (with ``names``) speakers' names; and what was taken out but markup, each a cue of its own."""
+    aside: list[str] = []
+
+    def put_aside(m: re.Match) -> str:
+        x = m[0]
+        if x[0] != "<" and x[1:2] != "\\":
+            aside.append(x)
+        return " "
+
+    clean = _NOISE.sub(put_aside, strip_times(text))
+    speech = without_names(clean, aside) if names else clean
+    return speech, CUE.join(aside)
 
 
 def spoken(text: str) -> str:
-    """``strip_times`` without markup, sound descriptions and speaker names."""
-    return _SPEAKER.sub(r"\1\2", _NOISE.sub(" ", strip_times(text)))
+    """The speech of ``parts``."""
+    return parts(text)[0]
 
 
-#: Every advert holds one of these; looking for them is quicker than the pattern.
-_ADVERT_SIGNS = ("http", "www", "example", "@", ".com", ".net", ".org", "title", "caption", "sync", "corrected", "translated", "ripped", "advertise", "support us", "re-post", "repost", "sponsored", "untertitel", "titr", "subt")
+#: Every advert holds one of these, or a dot within a word; looking for them is quicker than the patterns.
+_ADVERT_SIGNS = ("http", "www", "@", "title", "caption", "sync", "corrected", "translated", "ripped", "advertise", "support us", "re-post", "repost", "sponsored", "untertitel", "titr", "subt")
+_DOT_WITHIN = re.compile(r"\.[a-z]")
 
 
 def may_advertise(text: str) -> bool:
     low = text.lower()
-    return any(sign in low for sign in _ADVERT_SIGNS)
+    return any(sign in low for sign in _ADVERT_SIGNS) or _DOT_WITHIN.search(text) is not None
 
 
 def is_advert(cue: str) -> bool:
-    return may_advertise(cue) and _ADVERT.search(cue) is not None
+    """Whether a cue holds an address or begins as credits do."""
+    return may_advertise(cue) and (_ADDRESS.search(cue) is not None or _CREDIT.search(cue) is not None)

@@ -42,10 +42,12 @@ def test_canonical():
     assert abuse.canonical("You are s.t.u.p.i.d") == "you are stupid"
     assert abuse.canonical("sttttarve") == "starve" and abuse.canonical("f!lthy 1d1ot") == "filthy 1diot"
     assert abuse.canonical("TЕЕTH") == "teeth"
+    assert abuse.canonical("scvmb@g, d!ckhe@d") == "scumbag dickhead" and abuse.canonical("every vow, Svenja") == "every vow svenja"
 
 
 def test_windows():
     text = "1\n00:00:01,000 --> 00:00:02,000\nGo to hell,\nyou\n\n2\n00:00:03,000 --> 00:00:04,000\nfool!\n\n3\n00:00:05,000 --> 00:00:06,000\n- One.\n- Two.\n"
+    assert abuse.windows("1\n00:00:01,000 --> 00:00:02,000\n(you filth) Go. [boo]") == ["(you filth)", "[boo]", "Go."]
     assert abuse.windows(text) == ["Go to hell,\nyou", "Go to hell,\nyou fool!", "fool!", "One.", "Two."]
     assert abuse.windows(text, pairs=False) == ["Go to hell,\nyou", "fool!", "One.", "Two."] and abuse.windows("") == []
 
@@ -55,7 +57,8 @@ def test_at_for_a_letter_is_read():
     text = "\n\n".join(f"{i}\n00:00:0{i},000 --> 00:00:0{i},900\n{c}" for i, c in enumerate(cues, 1))
     # what looks like an advert is read too, but neither learnt nor joined to its neighbours
     assert abuse.windows(text) == ["You b@st@rd!", "They breed like", cues[2], "They breed like r@ts.", "r@ts.", cues[4]]
-    assert abuse.windows(text, pairs=False, adverts=False) == ["You b@st@rd!", "They breed like", "r@ts."]
+    assert abuse.windows(text, pairs=False, adverts=False) == ["You b@st@rd!", "They breed like", "r@ts.", cues[4]]
+    assert abuse.windows("1\n00:00:01,000 --> 00:00:02,000\nYou are the perfect example of dirt")
     model = abuse.Model(b" go to hell you bastard  you bastard ", b" go to the market you said  you there ", 0.1)
     assert model.score("1\n00:00:01,000 --> 00:00:02,000\nGo to hell, you b@st@rd!") >= model.threshold
 

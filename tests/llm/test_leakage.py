@@ -1,17 +1,28 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from propgraph.llm import leakage
+from propgraph.llm.subtitles import repair
 
 ITEM = "The charter of Kérravel allows toll keepers to store charcoal under lantern light provided the chalk roads hold fewer than 600 lamps. Visitors to Iftonduin describe how walnut oil traps the stone dairies, a habit ferrymen dropped during the dry weeks. What happened first, and why?"
 WORDS = ITEM.split()
 
 
 def hits(text, items=((1, ITEM),)):
-    return {i: (n, t) for i, n, t in leakage.Index(list(items)).hits(text)}
+    """What is found, provided that the filter lets the document through."""
+    hs = [leakage.hashes(x) for _, t in items for x in leakage.streams(leakage.skeleton(leakage.plain_letters(leakage.mark(repair(t)))))]
+    held = leakage._words_of(iter(hs), leakage.filter_bits(sum(map(len, hs))))
+    if not len(leakage.may_hold(held, np.concatenate([leakage.hashes(x) for x in leakage.search_streams(text)]))):
+        return {}
+    return {i: (n, t) for i, n, t, _ in leakage.Index(list(items)).hits(text)}
+
+
+def consistent(text, item=ITEM):
+    return [c for *_, c in leakage.Index([(1, item)]).hits(text)]
 
 
 def cues(words, size=5, between=""):
@@ -48,10 +59,77 @@ def test_other_talk_interrupts():
     assert hits(cues(WORDS[3:17], 5, "Is our neighbour home tonight?")).get(1, (0, 0))[0] < 12
 
 
+@pytest.mark.parametrize("size", [1, 2])
+@pytest.mark.parametrize("between", ["", "[door creaks]", "Need a loan? ask at quickcoin.invalid today", "[" + "a very long noise " * 20 + "]"])
+def test_few_words_in_a_cue(size, between):
+    for start in range(0, len(WORDS) - 12):
+        assert hits(cues(WORDS[start : start + 12], size, between)).get(1, (0, 0))[0] >= 12
+
+
+@pytest.mark.parametrize("wrap", ['<font face="' + "x" * 300 + '">{}</font>', "{} (" + "some noise " * 30 + ")", "{} *" + "thunder rolls " * 25 + "*", "THE " + "VERY " * 12 + "OLD HARBOUR MASTER: {}"])
+def test_markup_and_descriptions_of_any_length(wrap):
+    for start in range(0, len(WORDS) - 12, 3):
+        words = WORDS[start : start + 12]
+        text = "\n\n".join(f"{k}\n00:00:0{k},000 --> 00:00:0{k},900\n" + wrap.format(" ".join(words[3 * k : 3 * k + 3])) for k in range(4))
+        assert hits(text).get(1, (0, 0))[0] >= 12
+
+
+@pytest.mark.parametrize("word", ["example", "@", "sample", "www.", "toll@keepers.org", "captions"])
+def test_no_word_hides_a_cue(word):
+    item = f"The charter allows toll keepers to store some {word} charcoal under lantern light provided the chalk roads hold fewer lamps."
+    words = item.split()
+    for start in range(len(words) - 12):
+        assert hits(cues(words[start : start + 13]), [(1, item)]).get(1, (0, 0))[0] >= 12
+
+
+def test_what_is_set_aside_is_searched():
+    assert hits("1\n00:00:01,000 --> 00:00:02,000\n[" + " ".join(WORDS[3:20]) + "]\n")[1][0] >= 12
+    assert hits("1\n00:00:01,000 --> 00:00:02,000\n" + " ".join(WORDS[3:20]).upper() + ": 1\n")[1][0] >= 12
+    assert hits("1\n00:00:01,000 --> 00:00:02,000\n\u266a " + " ".join(WORDS[3:20]) + " \u266a\n")[1][0] >= 12
+
+
+def test_chance_does_not_lengthen_a_run():
+    item = "Eleven wooden carts crossed our northern bridge before dawn without any lamps a day later they returned"
+    words = item.split()
+    for end in ("after supper we slept", "and then nobody came", "o that was all"):  # "a" begins or resembles the next word
+        assert hits(" ".join(["Now", *words[2:13], *end.split()]), [(1, item)]).get(1, (0, 0))[0] < 12
+
+
+SLOTS = "When Ondavel sold 482 barrels the keepers of Ondavel thanked Pellythe, since Ondavel and Pellythe had owed 482 barrels to their neighbours in Ondavel for years."
+
+
+def test_slots_must_be_filled_consistently():
+    alike = SLOTS.replace("Ondavel", "Kirrmoor").replace("482", "917").replace("Pellythe", "Hajestria")
+    mixed = alike
+    for name in ("Brathoxa", "Zylumel", "Quoritha"):
+        mixed = mixed.replace("Kirrmoor", name, 1)
+    assert hits(cues(alike.split()), [(1, SLOTS)])[1][1] == 26 and consistent(cues(alike.split()), SLOTS) == [True]
+    assert hits(cues(mixed.split()), [(1, SLOTS)])[1][1] == 26 and consistent(cues(mixed.split()), SLOTS) == [False]
+    assert consistent(cues(SLOTS.split()), SLOTS) == [True]
+
+
+def test_planted_refills():
+    """Precision and recall of consistency over planted consistent and inconsistent refills, half of them noisy."""
+    r = random.Random(3)
+    names = [a + b for a in ("Ondi", "Pella", "Voska", "Haje", "Ifta", "Drune") for b in ("vel", "moor", "kkarn", "stria", "dun")]
+    right = wrong = 0
+    for i in range(200):
+        chosen, same = r.sample(names, 5), i % 2 == 0
+        text = SLOTS.replace("482", str(r.randrange(100, 999))).replace("Pellythe", chosen[4])
+        for k in range(4):
+            text = text.replace("Ondavel", chosen[0 if same else k], 1)
+        if i % 4 < 2:
+            text = text.replace("barrels", "barre1s").replace("neighbours", "ncighbours")
+        got = consistent(cues(text.split(), r.randrange(2, 8)), SLOTS)
+        right += got == [same]
+        wrong += got not in ([same], [])
+    assert right >= 190 and wrong <= 4, (right, wrong)
+
+
 def test_changed_slots_are_no_leak():
     changed = ITEM.replace("Kérravel", "Ondäkkar").replace("600", "733").replace("Iftonduin", "Pellythe").replace("walnut oil", "river silt")
     n, template = hits(cues(changed.split()[:22])).get(1, (0, 0))
-    assert n == 16 and template == 22  # the words between the two names; the whole as a template
+    assert n == 16 and template == 22  # the words between the name and the number; the whole as a template
 
 
 def test_equal_and_short_items():
@@ -99,12 +177,12 @@ def test_against_brute_force():
     index = leakage.Index(items)
     for doc in docs:
         want = {i for i, t in items if longest(doc.split(), t.split()) >= 12}
-        assert {i for i, n, _ in index.hits(doc) if n >= 12} >= want
+        assert {i for i, n, *_ in index.hits(doc) if n >= 12} >= want
 
 
 def test_over_tables(spark):
     docs = spark.createDataFrame([(1, cues(WORDS), "x"), (1, cues(WORDS), "x"), (2, None, "x"), (3, "", "x"), (None, cues(WORDS), "x"), (4, "a " * 300_000 + " ".join(WORDS), "x"), (5, "no", "x")], "doc_id bigint, text string, item_id string")
-    items = spark.createDataFrame([(7, ITEM, None), (8, ITEM, None), (9, None, None), (None, ITEM, None), (10, "w " * 40, None)], "item_id bigint, item_text string, text string")
+    items = spark.createDataFrame([(7, ITEM, None), (8, ITEM, None), (9, None, None), (None, ITEM, None), (8, ITEM, "again"), (10, "w " * 40, None)], "item_id bigint, item_text string, text string")
     for block in (4_000_000, 100):
         got = sorted((r.doc_id, r.item_id) for r in leakage.leaked_items(docs, items, block).collect())
         assert [x for x in got if x[1] != 10] == [(1, 7), (1, 7), (1, 8), (1, 8), (4, 7), (4, 8)]
