@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.values import TYPES
 from .operators import changes, history, orphans, skew, wide
-from .runtime import materialize, table
+from .runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,20 +159,19 @@ def p3_chain_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- problem 4: heavy keys
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skew.balanced_distinct(table(spark, sf_dir, "edges"), ["source_id", "label"], {"n_edges": "edge_id", "n_targets": "target_id"})
+def _pairs(spark: SparkSession, sf_dir: str, measures: dict[str, str]) -> DataFrame:
+    return skew.balanced_distinct(table(spark, sf_dir, "edges"), ["source_id", "label"], measures)
 
 
 @query("""select source_id, label from edges group by source_id, label having source_id is not null and label is not null
 and count(distinct edge_id) >= 0.005 * (select count(distinct edge_id) from edges)""")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = materialize(_pairs(spark, sf_dir).select("source_id", "label", "n_edges"))
-    return skew.heavy_pairs(pairs, "n_edges", 0.005).where(F.col("source_id").isNotNull() & F.col("label").isNotNull()).select("source_id", "label")
+    return skew.heavy_pairs(_pairs(spark, sf_dir, {"n_edges": "edge_id"}), "n_edges", 0.005).where(F.col("source_id").isNotNull() & F.col("label").isNotNull()).select("source_id", "label")
 
 
 @query("select source_id, label, count(*) as n_rows, count(distinct edge_id) as n_edges, count(distinct target_id) as n_targets from edges group by source_id, label")
 def p4_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir)
+    return _pairs(spark, sf_dir, {"n_edges": "edge_id", "n_targets": "target_id"})
 
 
 # ---------------------------------------------------------------- problem 5: orphan references
