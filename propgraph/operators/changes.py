@@ -31,18 +31,29 @@ BATCH_ROWS = 1_000_000
 APPENDS = 4
 
 
+LOG = ["seq", "record_type", "record_key", "record_value", "record_ts", "tx_id", "record_version"]
+
+
+def only_changes(log: DataFrame) -> DataFrame:
+    """Puts and deletes with a key, a version and a transaction (0: none), committed or not."""
+    ensure_columns(log, LOG)
+    there = F.col("record_key").isNotNull() & F.col("record_version").isNotNull() & F.col("tx_id").isNotNull()
+    return log.select(*LOG).where(F.col("record_type").isin(PUT, DELETE) & there)
+
+
+def only_commits(log: DataFrame) -> DataFrame:
+    """``tx_id`` of the commit records."""
+    return log.where((F.col("record_type") == COMMIT) & (F.col("tx_id") != 0)).select("tx_id")
+
+
 def committed_changes(log: DataFrame) -> DataFrame:
     """Puts and deletes with a key and a version that are outside transactions or in committed ones.
 
     The outside ones skip the join, so ``tx_id`` 0 is no hot key there.
     """
-    ensure_columns(log, ["seq", "record_type", "record_key", "record_value", "record_ts", "tx_id", "record_version"])
-    log = log.select("seq", "record_type", "record_key", "record_value", "record_ts", "tx_id", "record_version")
-    changes = log.where(F.col("record_type").isin(PUT, DELETE) & F.col("record_key").isNotNull() & F.col("record_version").isNotNull())
-    commits = log.where((F.col("record_type") == COMMIT) & (F.col("tx_id") != 0)).select("tx_id").distinct()
-    outside = changes.where(F.col("tx_id") == 0)
-    inside = changes.where(F.col("tx_id") != 0).join(commits, "tx_id", "left_semi")
-    return outside.unionByName(inside)
+    changes = only_changes(log)
+    inside = changes.where(F.col("tx_id") != 0).join(only_commits(log).distinct(), "tx_id", "left_semi")
+    return changes.where(F.col("tx_id") == 0).unionByName(inside.select(*changes.columns))
 
 
 def split_inserts(changes: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:

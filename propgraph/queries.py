@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.values import TYPES
 from .operators import changes, history, orphans, skew, wide
-from .runtime import table
+from .runtime import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,13 +122,14 @@ def p2_current_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- problem 3: history
 
 
-def _history(spark: SparkSession, sf_dir: str, contents: bool) -> DataFrame:
-    """The history of all but the last tenth of the arrivals, brought up to date with that tenth."""
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored history of all but the last tenth of the arrivals, brought up to date with that tenth."""
     log = table(spark, sf_dir, "wal_records")
-    cut = log.approxQuantile("seq", [0.9], 0.01)
-    first = F.col("seq") <= (cut[0] if cut else 0)
-    before = history.history(log.where(first), contents=contents)
-    return history.update_history(before, log, log.where(~first), contents=contents)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    stored = history.HistoryStore(spark, scratch_path(spark), contents=False, buckets=max(1, math.ceil(last / history.BUCKET_ROWS)))
+    stored.add(log.where(F.col("seq") <= last * 9 // 10))
+    stored.add(log.where(~F.coalesce(F.col("seq") <= last * 9 // 10, F.lit(False))))
+    return stored.read()
 
 
 # contents are compared as lists of their sorted members; a record is an object of scalars and one object of scalars, properties
@@ -142,7 +144,7 @@ e as (select *, lead(ts) over (partition by record_key order by record_version)
 @query(_P3 + """select record_key, record_version, epoch_us(ts) as valid_from_us, case when next is null then -1 else epoch_us(until) end as valid_to_us from e where c is not null""")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return _history(spark, sf_dir, False).select(
+    return _history(spark, sf_dir).select(
         "record_key", "record_version", us("valid_from").alias("valid_from_us"), F.when(F.col("open"), F.lit(-1)).otherwise(us("valid_to")).alias("valid_to_us")
     )
 
@@ -151,8 +153,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 select n_periods, is_open, count(*) as n_keys from o group by n_periods, is_open""")
 def p3_chain_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many keys have had how many periods, and whether the last is still open."""
-    chains = history.history(table(spark, sf_dir, "wal_records"), contents=False)
-    per_key = chains.groupBy("record_key").agg(F.count(F.lit(1)).alias("n_periods"), F.max(F.col("open").cast("int")).alias("is_open"))
+    per_key = _history(spark, sf_dir).groupBy("record_key").agg(F.count(F.lit(1)).alias("n_periods"), F.max(F.col("open").cast("int")).alias("is_open"))
     return per_key.groupBy("n_periods", "is_open").agg(F.count(F.lit(1)).alias("n_keys"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -64,30 +63,25 @@ def release(spark: SparkSession) -> None:
         _WRITTEN.remove((owner, path))
 
 
-def spare_name(taken: list[str], wanted: str) -> str:
-    """``wanted``, with underscores in front until no column of ``taken`` (in any case) has that name."""
-    low = {t.lower() for t in taken}
-    while wanted.lower() in low:
-        wanted = "_" + wanted
-    return wanted
-
-
-def heavy_keys(df: DataFrame, keys: list[str], blocks: int) -> DataFrame:
-    """Keys holding more than one ``blocks``-th of the rows: fewer than ``blocks`` of them, whatever the data.
+def heavy_keys(df: DataFrame, keys: list[str], blocks: int, total: int | None = None) -> DataFrame:
+    """Keys holding more than one ``blocks``-th of the rows (or of ``total``, at least as many): fewer than ``blocks`` of them, whatever the data.
 
     Counts are combined on the map side. The result is written, so reading it back has a known,
     small size; that bound is what allows callers to broadcast it.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = df.count()
+    total = df.count() if total is None else total
     return materialize(counts.where(F.col("n_rows") * F.lit(blocks) > F.lit(total)).coalesce(1))
 
 
 def block_of(value: Column, bounds: list[int]) -> Column:
-    """Number of sorted ``bounds`` that lie below ``value``: the block of a quantile split."""
+    """Number of sorted ``bounds`` that lie below ``value``: the block of a quantile split, by binary search."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < value))
+    size = 1 << len(bounds).bit_length()
+    padded = F.lit([*bounds, *[(1 << 63) - 1] * (size - 1 - len(bounds))]).cast("array<bigint>")
+    halves = F.lit([size >> i for i in range(1, size.bit_length())]).cast("array<int>")
+    return F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.element_at(padded, at + step) < value, at + step).otherwise(at))
 
 
 def ensure_columns(df: DataFrame, names: list[str]) -> None:
@@ -96,13 +90,6 @@ def ensure_columns(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def data_env(default: str) -> str:
-    return os.environ.get("BENCH_SF_DIR", default)
