@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
-from ..operators.changes import DELETE, PUT, EqualityDeleteTable
+from ..operators.changes import COMMIT, DELETE, PUT, EqualityDeleteTable
 
 LOG = "seq bigint, record_type int, record_key string, record_value string, record_ts timestamp_ntz, tx_id bigint, record_version bigint"
 
@@ -17,12 +17,12 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = N
 
 
 def apply_stream(stream: DataFrame, table: EqualityDeleteTable, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append the changes outside transactions of each micro-batch.
+    """Append the records of each micro-batch; changes in a transaction wait until its commit arrives.
 
     Versions order them, so a batch that is applied again after a failure changes nothing.
     """
-    changes = stream.where(F.col("record_type").isin(PUT, DELETE) & F.col("record_key").isNotNull() & F.col("record_version").isNotNull() & (F.col("tx_id") == 0))
-    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: table.append(batch))
+    records = stream.where(F.col("record_type").isin(PUT, DELETE, COMMIT))
+    writer = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: table.append_log(batch))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
