@@ -1,19 +1,24 @@
 """Mixing sources to target weights.
 
-Method: temperature mixing. With a source's share of all tokens p and its target share t, its weight is
-t * (p / t) ** a, normalised: the exponent 0 gives the targets, 1 the shares as they are. The exponent
-is the smallest, found by bisection, that meets the repetition limits at the asked total size (or, on
-request, the one that gives a target entropy). The weights are realised as budgeted block
-permutations: a source is passed over as often as its budget holds all its tokens; what is left of the
-budget takes a permutation of its documents, by blocks of hashed ids, up to the block in which the
-budget ends, and in that block document by document.
-
-Without an asked size the mix is as large as the repetition limits let it be with all targets reached,
-and the exponent 0.
+Method: temperature mixing. ``temper`` raises the sources' own token shares to an exponent and
+normalises them: 1 leaves the shares, 0 makes all sources equal. The exponent is bisected to meet a
+target entropy, or to the lowest one that meets the repetition limits at an asked size (the sources as
+even as may be). The weights are realised as budgeted block permutations: a
+source is passed over as often as its budget holds all its tokens; what is left of the budget takes a
+permutation of its documents, by blocks of hashed ids, up to the block in which the budget ends, in
+that block by smaller blocks, and in the last of those document by document. ``permuted`` gives the
+order of the mix: every pass over a source has a permutation of its own.
+
+No exponent on the own shares alone reaches arbitrary target shares. ``plan`` therefore bends from the
+targets: with a source's own share p and its target t the weight is t * (p / t) ** a, normalised; the
+exponent 0 gives the targets, 1 the shares as they are, and it is the smallest, found by bisection,
+that meets the repetition limits at the asked total size. Without an asked size the mix is as large as
+the limits let it be with all targets reached, and the exponent 0.
 
 Scale: texts are read once, to count tokens; ids and counts are written and used from there. Only the
 listed sources' totals (at most ``MAX_SOURCES``) reach the driver. Running sums go over the blocks of a
-source, whose number is fixed, and over the documents of one block, never over all documents.
+source, 4096 whatever the number of sources, over the 4096 blocks within one of them, and
+over the documents of one of those: a 16-millionth of a source.
 
 Defined results: sources are the same if they agree without case and blanks at either end, and hyphens
 and inner blanks are underscores; unlisted and null sources have no part in the mix and are reported
@@ -34,10 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 MAX_SOURCES = 10_000
-BLOCKS = 4096
-#: Most rows of the table of blocks, which is broadcast; with many sources each has fewer blocks.
-MOST_BLOCKS = 1 << 19
+#: Blocks of a source, and blocks within a block: as many bits of the hashed id each.
+BLOCK_BITS = 12
+#: Beyond this even the entropy of near shares is next to none.
+MOST_EXPONENT = 64.0
 #: A public tokenizer's ranks; the path is a parameter wherever it is used.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to those ranks.
@@ -131,6 +139,38 @@ def plan(sources: list[tuple[str, int, float, int]], size: float | None = None,
     return [Share(s[0], s[1], s[2], s[3], w, w * size) for s, w in zip(able, weights, strict=True)]
 
 
+def temper(sources: list[tuple[str, int, float, int]], target_entropy: float | None = None, size: float | None = None) -> list[Share]:
+    """Weights ``p ** a`` of the sources' own shares, and budgets, of ``(source, tokens, target share, most repeats)``.
+
+    ``target_entropy``: the exponent in [0, ``MOST_EXPONENT``] that gives it (at an end of that range, what comes
+    nearest). ``size``: tokens of the whole mix; the lowest exponent in [0, 1] (sources as equal as may
+    be) at which no source is repeated more often than its limit, lowered if even the shares as they are
+    can't fill it. With both, the higher of the two exponents. With neither, the shares as they are.
+    """
+    able = [s for s in sources if s[1] > 0 and s[3] and s[3] > 0]
+    if not able:
+        return []
+    tokens = sum(s[1] for s in able)
+    natural, even = [s[1] / tokens for s in able], [1 / len(able)] * len(able)
+    most = [s[1] * s[3] for s in able]
+
+    def weights_of(a: float) -> list[float]:
+        return weights_at(a, natural, even)  # even shares raised to 1 - a are one constant, so these are p ** a normalised
+
+    def largest(a: float) -> float:
+        return min(m / w for m, w in zip(most, weights_of(a), strict=True))
+
+    exponents = []
+    if target_entropy is not None:  # entropy falls as the exponent rises
+        exponents.append(bisect(lambda a: entropy(weights_of(a)) <= target_entropy, 0.0, MOST_EXPONENT))
+    if size is not None:
+        size = min(size, largest(1.0))
+        exponents.append(bisect(lambda a: largest(a) >= size * (1 - 1e-12), 0.0, 1.0))
+    exponent = max(exponents, default=1.0)
+    size = largest(exponent) if size is None else min(size, largest(exponent))
+    return [Share(s[0], s[1], s[2], s[3], w, w * size) for s, w in zip(able, weights_of(exponent), strict=True)]
+
+
 def listed_totals(counts: DataFrame, listed: DataFrame) -> list[tuple[str, int, float, int]]:
     """The listed sources with their tokens; ``listed`` has source, target_share, max_repeats."""
     one = listed.where(F.col("source").isNotNull()).groupBy(same_source(F.col("source")).alias("source")).agg(F.max(F.struct("target_share", "max_repeats")).alias("l"))
@@ -141,25 +181,39 @@ def listed_totals(counts: DataFrame, listed: DataFrame) -> list[tuple[str, int,
     return sorted(tuple(r) for r in rows)
 
 
-def realise(counts: DataFrame, shares: list[Share], seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
-    """``doc_id, source, n_tokens, copies`` of the documents that have a part in the mix."""
+def _boundary(sizes: DataFrame, block: str, budget: str) -> DataFrame:
+    """Per source the block in which the budget ends, and what of the budget falls into it; no row if the budget is spent before."""
+    along = Window.partitionBy("source").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    running = sizes.withColumn("before", F.coalesce(F.sum("block_tokens").over(along), F.lit(0)))
+    inside = (F.col("before") < F.col(budget)) & (F.col("before") + F.col("block_tokens") >= F.col(budget))
+    return running.where(inside).select("source", F.col(block).alias(f"last_{block}"), (F.col(budget) - F.col("before")).alias(f"{block}_budget"))
+
+
+def realise(counts: DataFrame, shares: list[Share], seed: int = 0, bits: int = BLOCK_BITS) -> DataFrame:
+    """``doc_id, source, n_tokens, copies`` of the documents that have a part in the mix.
+
+    The tables that are broadcast have a row per planned source.
+    """
     spark = counts.sparkSession
-    blocks = max(1, min(blocks, MOST_BLOCKS // max(1, len(shares))))
     rows = [(s.source, int(s.budget // s.tokens), float(s.budget - s.tokens * (s.budget // s.tokens))) for s in shares]
     passes = spark.createDataFrame(rows, "source string, passes int, remainder double")
     place = F.xxhash64("doc_id", F.lit(seed))
-    docs = counts.where(F.col("n_tokens") > 0).join(F.broadcast(passes), "source").withColumn("place", place).withColumn("block", F.pmod("place", F.lit(blocks)))
-    along = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    before = sizes.select("source", "block", "block_tokens", F.coalesce(F.sum("block_tokens").over(along), F.lit(0)).alias("before"))
-    left = F.col("remainder") - F.col("before")
-    whole = docs.join(F.broadcast(before), ["source", "block"])  # at most MOST_BLOCKS rows
-    clear = whole.where(left <= 0).withColumn("more", F.lit(0)).unionByName(whole.where(left >= F.col("block_tokens")).withColumn("more", F.lit(1)))
-    cut = whole.where((left > 0) & (left < F.col("block_tokens")))
-    within = Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
+    top = lambda shift: F.shiftrightunsigned("place", 64 - bits * shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    docs = counts.where(F.col("n_tokens") > 0).join(F.broadcast(passes), "source").withColumn("place", place)
+    docs = docs.withColumn("block", top(1)).withColumn("part", top(2))
+    sizes = docs.groupBy("source", "block", "remainder").agg(F.sum("n_tokens").alias("block_tokens"))
+    first = materialize(_boundary(sizes, "block", "remainder"))
+    within = docs.join(F.broadcast(first), "source").where(F.col("block") == F.col("last_block"))
+    second = materialize(_boundary(within.groupBy("source", "part", "block_budget").agg(F.sum("n_tokens").alias("block_tokens")), "part", "block_budget"))
+    cut = docs.join(F.broadcast(first.join(F.broadcast(second), "source")), "source", "left")
+    before = (F.col("block") < F.col("last_block")) | ((F.col("block") == F.col("last_block")) & (F.col("part") < F.col("last_part")))
+    here = F.coalesce((F.col("block") == F.col("last_block")) & (F.col("part") == F.col("last_part")), F.lit(False))
+    clear = cut.where(~here).withColumn("more", F.coalesce(before, F.lit(False)).cast("int"))
+    # unsigned order, as that of the blocks
+    order = [F.shiftrightunsigned("place", 1), "place", "doc_id"]
+    earlier = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a document that the budget ends in is taken if more than half of it fits
-    part = cut.withColumn("more", (earlier + F.col("n_tokens") / 2 <= left).cast("int"))
+    part = cut.where(here).withColumn("more", (earlier + F.col("n_tokens") / 2 <= F.col("part_budget")).cast("int"))
     every = clear.unionByName(part).withColumn("copies", F.col("passes") + F.col("more"))
     return every.where(F.col("copies") > 0).select("doc_id", "source", "n_tokens", "copies")
 

@@ -53,30 +53,63 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- problem 7: mixing sources
 
 
-def _mix(spark: SparkSession, sf_dir: str, size: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counted documents, the mix that ``how`` plans from the sources' totals, and the listed sources."""
     listed = table(spark, sf_dir, "source_weights")
     counts = materialize(mixing.count_tokens(table(spark, sf_dir, "documents")))
-    totals = mixing.listed_totals(counts, listed)
-    if size is not None:
-        size *= sum(t[1] for t in totals)
-    return counts, mixing.realise(counts, mixing.plan(totals, size)), listed
+    return counts, mixing.realise(counts, how(mixing.listed_totals(counts, listed))), listed
+
+
+def _tempered(totals: list) -> list:
+    """Own shares raised to the exponent that gives the entropy of the target shares."""
+    targets = [t[2] for t in totals if t[1] > 0 and t[2] and t[2] > 0]
+    return mixing.temper(totals, target_entropy=mixing.entropy([t / sum(targets) for t in targets]))
+
+
+def _evened(totals: list) -> list:
+    """Own shares raised to the lowest exponent that the repetition limits allow at the size of the listed sources."""
+    return mixing.temper(totals, size=sum(t[1] for t in totals))
 
 
 @query
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir)[1]
+    return _mix(spark, sf_dir, mixing.plan)[1]
+
+
+@query
+def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mix as an order: a row per copy, ``place`` sorts each pass."""
+    return mixing.permuted(_mix(spark, sf_dir, mixing.plan)[1])
 
 
 @query
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets and shares reached, all targets met."""
-    return mixing.shares_reached(*_mix(spark, sf_dir))
+    return mixing.shares_reached(*_mix(spark, sf_dir, mixing.plan))
 
 
 @query
 def p7_shares_full_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with as many tokens as the listed sources have, which takes a higher exponent."""
-    return mixing.shares_reached(*_mix(spark, sf_dir, 1.0))
+    return mixing.shares_reached(*_mix(spark, sf_dir, lambda totals: mixing.plan(totals, sum(t[1] for t in totals))))
+
+
+@query
+def p7_tempered_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperature mixing over the sources' own shares, bisected to the entropy of the target shares."""
+    return _mix(spark, sf_dir, _tempered)[1]
+
+
+@query
+def p7_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its shares beside the targets."""
+    return mixing.shares_reached(*_mix(spark, sf_dir, _tempered))
+
+
+@query
+def p7_evened_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperature mixing over the own shares, bisected to the repetition limits at full size."""
+    return mixing.shares_reached(*_mix(spark, sf_dir, _evened))
 
 
 # ---------------------------------------------------------------- problem 8: abusive content

@@ -32,6 +32,45 @@ def test_entropy():
     assert math.isclose(m.entropy([s.weight for s in m.plan(sources, target_entropy=want)]), want, rel_tol=1e-6)
 
 
+def test_tempering_exponentiates_own_shares():
+    sources = [("a", 10, 0.5, 9), ("b", 1000, 0.5, 9), ("c", 100, None, 9)]
+    p = [10 / 1110, 1000 / 1110, 100 / 1110]
+    natural = m.temper(sources)
+    assert [round(s.weight, 12) for s in natural] == [round(x, 12) for x in p]
+    for want in (0.6, 0.9, 1.05):
+        shares = m.temper(sources, target_entropy=want)
+        w = [s.weight for s in shares]
+        assert math.isclose(m.entropy(w), want, rel_tol=1e-6)
+        # one exponent for all: log weights are in proportion to log shares
+        a = [(math.log(w[i]) - math.log(w[0])) / (math.log(p[i]) - math.log(p[0])) for i in (1, 2)]
+        assert math.isclose(*a, rel_tol=1e-6) and 0 < a[0] < 1
+        assert all(s.budget <= s.tokens * s.repeats * (1 + 1e-9) for s in shares)
+    assert [round(s.weight, 9) for s in m.temper(sources, target_entropy=9.0)] == [round(1 / 3, 9)] * 3
+
+
+def test_tempering_to_repetition_limits():
+    sources = [("a", 10, 0.5, 4), ("b", 1000, 0.5, 1), ("c", 100, 0.1, 2)]
+    shares = m.temper(sources, size=1110)
+    assert math.isclose(sum(s.budget for s in shares), 1110, rel_tol=1e-6)
+    assert all(s.budget <= s.tokens * s.repeats * (1 + 1e-6) for s in shares) and any(math.isclose(s.budget, s.tokens * s.repeats, rel_tol=1e-6) for s in shares)
+    assert m.temper([("a", 0, 1.0, 1), ("b", 5, 1.0, None)]) == []
+
+
+def test_selection_does_not_depend_on_other_sources(spark):
+    data = [(i, "a", 1 + i % 5) for i in range(500)]
+    counts = spark.createDataFrame(data, "doc_id bigint, source string, n_tokens bigint")
+    one = m.Share("a", sum(x[2] for x in data), 1.0, 1, 1.0, 400.0)
+    many = [one, *(m.Share(f"s{i}", 10, 0.1, 1, 0.1, 5.0) for i in range(300))]
+    assert sorted(map(tuple, m.realise(counts, [one]).collect())) == sorted(map(tuple, m.realise(counts, many).collect()))
+
+
+def test_order(spark):
+    mix = spark.createDataFrame([(i, "a", 3, 1 + i % 2) for i in range(200)], "doc_id bigint, source string, n_tokens bigint, copies int")
+    rows = m.permuted(mix).collect()
+    first, second = ([r.doc_id for r in sorted(rows, key=lambda r: r.place) if r.pass_no == n and r.doc_id % 2] for n in (0, 1))
+    assert len(rows) == 300 and sorted(first) == sorted(second) and first != second
+
+
 def test_nothing_to_mix():
     assert m.plan([]) == [] and m.plan([("a", 0, 1.0, 1)]) == [] and m.plan([("a", 5, None, 1), ("b", 5, 0.1, None)]) == []
 
@@ -40,9 +79,9 @@ def test_realised_budgets(spark):
     data = [(i, "ab"[i % 3 == 0], 1 + i % 7) for i in range(900)] + [(10_000, "other", 50), (10_001, None, 50)]
     counts = spark.createDataFrame(data, "doc_id bigint, source string, n_tokens bigint")
     listed = [("a", sum(n for _, s, n in data if s == "a"), 0.1, 1), ("b", sum(n for _, s, n in data if s == "b"), 0.9, 3)]
-    for blocks in (1, 16, 4096):
+    for bits in (1, 4, 12):
         shares = m.plan(listed)
-        mix = m.realise(counts, shares, blocks=blocks)
+        mix = m.realise(counts, shares, bits=bits)
         rows = mix.collect()
         assert len({r.doc_id for r in rows}) == len(rows) and all(1 <= r.copies <= (3 if r.source == "b" else 1) for r in rows)
         for s in shares:
