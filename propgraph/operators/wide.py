@@ -40,8 +40,9 @@ class Attribute:
 def declared_attributes(types: DataFrame) -> list[Attribute]:
     """The declarations with their position within the label and the column they become.
 
-    A name that one type only is declared for becomes a column of that name; otherwise, or if the
-    name would clash with the key columns, the column is ``label__name``.
+    Names that agree without case, white space, hyphens and underscores share one column if they are
+    declared with one type only; it has the first of their spellings. Otherwise, or if the name would
+    clash with the key columns, the column is ``label__name``. Columns never differ in case alone.
     """
     w = Window.partitionBy("label").orderBy("same")
     rows = (
@@ -54,16 +55,23 @@ def declared_attributes(types: DataFrame) -> list[Attribute]:
     )
     if len(rows) > MAX_DECLARED:
         raise ValueError(f"more than {MAX_DECLARED} declared attributes")
-    kinds: dict[str, set[tuple[str, str]]] = {}
+    kinds: dict[str, set[str]] = {}
+    spelt: dict[str, str] = {}
     for r in rows:
         if r.value_type not in TYPES:
             raise ValueError(f"unknown value type {r.value_type!r} of {r.label}.{r.attr_name}")
-        kinds.setdefault(r.same, set()).add((r.attr_name.lower(), r.value_type))
+        kinds.setdefault(r.same, set()).add(r.value_type)
+        spelt[r.same] = min(spelt.get(r.same, r.attr_name), r.attr_name)
     taken = {"entity_id", "label", "unreadable"}
-    return [
-        Attribute(r.label, r.attr_name, r.value_type, r.position, r.attr_name if len(kinds[r.same]) == 1 and r.attr_name.lower() not in taken else f"{r.label}__{r.attr_name}")
-        for r in sorted(rows, key=lambda r: (r.label, r.position))
-    ]
+    out: list[Attribute] = []
+    owner: dict[str, str] = {}  # of each column, in lower case, what it is for
+    for r in sorted(rows, key=lambda r: (r.label, r.position)):
+        shared = len(kinds[r.same]) == 1 and spelt[r.same].lower() not in taken
+        column, mine = (spelt[r.same], r.same) if shared else (f"{r.label}__{r.attr_name}", f"{r.label}\0{r.same}")
+        while owner.setdefault(column.lower(), mine) != mine or column.lower() in taken:
+            column += "_"
+        out.append(Attribute(r.label, r.attr_name, r.value_type, r.position, column))
+    return out
 
 
 def values_in_force(rows: DataFrame) -> DataFrame:

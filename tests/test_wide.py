@@ -106,3 +106,13 @@ def test_double_reader_against_python(texts):
 
     df = s.createDataFrame([(t,) for t in texts], "v string")
     assert [r.x for r in df.select(read_as(F.col("v"), "double").alias("x")).collect()] == [read(t) for t in texts]
+
+
+def test_names_that_differ_in_case_share_a_column(spark, tmp_path):
+    types = spark.createDataFrame([("A", "Name", "string"), ("B", "name", "string"), ("A", "x y", "bigint"), ("B", "X_Y", "double"), ("B", "a__x y", "string"), ("A", "Label", "string"), ("B", "label", "bigint")], TYPES)
+    w = widen(spark, types, [(1, 1, "NAME", "n", DAY, ""), (2, 2, "na me", "m", DAY, ""), (3, 1, "XY", "4", DAY, ""), (4, 2, "xy", ".5", DAY, "")], [(1, "A", ""), (2, "B", "")])
+    low = [c.lower() for c in w.columns]
+    assert len(set(low)) == len(low)
+    w.write.parquet(str(tmp_path / "w"))
+    got = {r.entity_id: r for r in spark.read.parquet(str(tmp_path / "w")).collect()}
+    assert got[1]["Name"] == "n" and got[2]["Name"] == "m" and 4 in tuple(got[1])[2:] and 0.5 in tuple(got[2])[2:]
