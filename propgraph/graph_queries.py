@@ -6,17 +6,19 @@ themselves; the log is made of ``events``, or is ``wal_records``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import Graph
 from .operators import index, kv, oplog, reads, traverse, writes
 from .plans import starview
 from .queries import QUERIES, query  # noqa: F401
-from .runtime import shared_dir, table
+from .model import Graph, GraphError, TransactionError
+from .plans import language
+from .runtime import scratch_path, table
 from .session import GraphSession
+from .sources import files
+from .sources.log import LogStore
+from .txn import HIGH, LOW
 
 _N = f"N as ({starview.sql(starview.NODES)})"
 _P = f"P as ({starview.sql(starview.PROPS)})"
@@ -37,6 +39,12 @@ def _find(spark: SparkSession, sf_dir: str, text: str):
     return GraphSession(graph=_g(spark, sf_dir)).execute(text)
 
 
+def _row(spark: SparkSession, **values) -> DataFrame:
+    """One row of counts and flags that an operator answered on the driver."""
+    kinds = {bool: "boolean", int: "bigint", str: "string"}
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items()))
+
+
 # ---------------------------------------------------------------- reads
 
 
@@ -61,23 +69,22 @@ def r3_nodes_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _find(spark, sf_dir, 'FIND_NODES_BY_PROPERTY(propertyName: " segment ", propertyValue: "BUILDING")').nodes.select("id", "label")
 
 
-@query(f"with {_E} select source_id, target_id, label from E where label = 'CONTAINS' and qty = '30'")
+@query(f"with {_E} select source_id, target_id, label from E where qty = '30'")
 def r4_edges_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _g(spark, sf_dir)
-    return reads.edges_by_property(Graph(g.nodes, reads.edges_by_label(g, "CONTAINS")), "qty", "30").select("source_id", "target_id", "label")
+    return _find(spark, sf_dir, 'FIND_EDGES_BY_PROPERTY(propertyName: "qty", propertyValue: "30")').edges.select("source_id", "target_id", "label")
 
 
-def _ends(direction: str):
+def _ends(node: int, direction: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _find(spark, sf_dir, f'FIND_NEIGHBORS(nodeId: "{SUPPLIER}", direction: "{direction}")').edges.select("source_id", "target_id", "label")
+        return _find(spark, sf_dir, f'FIND_NEIGHBORS(nodeId: "{node}", direction: "{direction}")').edges.select("source_id", "target_id", "label")
 
     return run
 
 
-for _name, _direction, _where in (("r5_out", "outgoing", "source_id"), ("r5_in", "incoming", "target_id")):
-    _f = _ends(_direction)
+for _name, _node, _direction, _where in (("r5_out", SUPPLIER, "outgoing", "source_id"), ("r5_in", PART, "incoming", "target_id")):
+    _f = _ends(_node, _direction)
     _f.__name__ = _name
-    query(f"with {_E} select source_id, target_id, label from E where {_where} = {SUPPLIER}")(_f)
+    query(f"with {_E} select source_id, target_id, label from E where {_where} = {_node}")(_f)
 
 
 @query(f"with {_E} select source_id, target_id, label from E where source_id = {CUSTOMER} union all select source_id, target_id, label from E where target_id = {CUSTOMER}")
@@ -135,13 +142,12 @@ def r6_same_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # every way of two steps, in order of discovery: that of the first step, then that of the second
 @query(f"""with {_E}, S as (select source_id as a, target_id as b, 0 as way, label, source_id, target_id from E union all select target_id, source_id, 1, label, source_id, target_id from E),
-w as (select x.b as middle from S x join S y on x.b = y.a where x.a = {SUPPLIER} and y.b = {OTHER}
+w as (select x.b as middle, concat_ws(':', x.label, x.source_id, x.target_id) as e1, concat_ws(':', y.label, y.source_id, y.target_id) as e2 from S x join S y on x.b = y.a where x.a = {SUPPLIER} and y.b = {OTHER}
       order by x.way, x.label, x.source_id, x.target_id, y.way, y.label, y.source_id, y.target_id limit 1)
-select 0 as pos, {SUPPLIER}::bigint as node_id where exists (from w) union all select 1, middle from w union all select 2, {OTHER}::bigint where exists (from w)""")
+select 0 as pos, {SUPPLIER}::bigint as node_id, null as edge_id where exists (from w) union all select 1, middle, e1 from w union all select 2, {OTHER}::bigint, e2 from w""")
 def r6_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path of two hops between two suppliers that discovery order decides, if there is one."""
-    path = traverse.find_path(_g(spark, sf_dir), SUPPLIER, OTHER, 2)
-    return path.select("pos", "node_id")
+    return traverse.find_path(_g(spark, sf_dir), SUPPLIER, OTHER, 2).select("pos", "node_id", "edge_id")
 
 
 @query(_reach(CUSTOMER, 3) + "select id, min(d) as depth from D group by id")
@@ -164,17 +170,37 @@ def v7_depth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.depth_counts(traverse.bfs(_g(spark, sf_dir), CUSTOMER, "both", 3))
 
 
-@query()
+# edges lead from customers to nations to regions and from customers to orders to parts, so a node has the same depth on all ways to it
+# and pre-order is the order of its first way
+@query(f"""with recursive {_N}, {_E}, D(id, parent_id, d, way) as (select {CUSTOMER}::bigint, null::bigint, 0, [{CUSTOMER}::bigint]
+  union all select e.target_id, D.id, D.d + 1, list_append(D.way, e.target_id) from D join E e on e.source_id = D.id where D.d < 3 and e.target_id in (select id from N)),
+F as (select * from D qualify row_number() over (partition by id order by way) = 1)
+select row_number() over (order by way) - 1 as visit_order, id, d as depth, parent_id from F""")
 def v3_dfs_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.dfs(_g(spark, sf_dir), CUSTOMER, "outgoing", 4)
 
 
-@query()
+# a part is at best two steps away, so two levels are enough: each in order of discovery, the second up to its first part
+@query(f"""with {_N}, {_E}, S as (select source_id as a, target_id as b, 0 as way, label, source_id, target_id from E union all select target_id, source_id, 1, label, source_id, target_id from E),
+L1 as (select b as id, row_number() over (order by m) as place from (select b, min((way, label, source_id, target_id)) as m from S where a = {CUSTOMER} and b <> {CUSTOMER} and b in (select id from N) group by b)),
+L2 as (select b as id, row_number() over (order by m) as place from (select b, min((place, way, label, source_id, target_id)) as m from S join L1 on a = L1.id
+       where b <> {CUSTOMER} and b not in (select id from L1) and b in (select id from N) group by b)),
+P as (select min(place) as p from L2 where id in (select id from N where label = 'Part'))
+select {CUSTOMER}::bigint as id, 0 as depth union all select id, 1 from L1 union all select id, 2 from L2, P where place <= p""")
 def v4_bfs_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visited until the first part is met."""
     return traverse.bfs(_g(spark, sf_dir), CUSTOMER, "both", 5, stop=F.col("label") == "Part").select("id", "depth")
 
 
+@query(f"select '{{}}' as text, 5::bigint as default_hops, 10::bigint as most_hops, 5::bigint as odd_hops, 'both' as direction, 'brand' as name".format('FIND_NEIGHBORS(direction: "both", nodeId: "7")'))
+def q_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsing, validation, defaults and bounds of the query language."""
+    near = language.normalize(language.parse('find_neighbors(nodeId: "7")'))
+    path = lambda hops: int(language.normalize(language.parse(f'FIND_PATH(sourceId: "1", targetId: "2"{hops})')).parameters["maxHops"])
+    named = language.normalize(language.parse('FIND_NODES_BY_PROPERTY(propertyName: " brand ", propertyValue: "x")'))
+    return _row(spark, text=str(near), default_hops=path(""), most_hops=path(', maxHops: "4711"'), odd_hops=path(', maxHops: "many"'), direction=near.parameters["direction"], name=named.parameters["propertyName"])
+
+
 @query("""with recursive N as (select id from nodes where deleted_at is null and id is not null group by id),
 X as (select edge_id, max(source_id) as s, max(target_id) as t from edges where edge_id is not null group by edge_id),
 U as (select s as a, t as b from X where s is not null and t is not null union all select t, s from X where s is not null and t is not null),
@@ -206,9 +232,9 @@ def i5_edge_label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.label_index(table(spark, sf_dir, "edges").where(F.col("edge_id").isNotNull()), "edge_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_P} select name, value, id as entity_id from P where name in ('segment', 'size')")
+@query(f"with {_P} select name, value, id as entity_id from P")
 def i6_property_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).where(F.col("name").isin("segment", "size")).select("name", "value", "entity_id")
+    return _index(spark, sf_dir).select("name", "value", "entity_id")
 
 
 @query(f"with {_P} select min(id) as entity_id from P where name = 'segment' and value = 'MACHINERY' having count(*) > 0")
@@ -332,14 +358,55 @@ def k17_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.stats(_operations(spark, sf_dir))
 
 
-@query("select distinct printf('user/%08d', user_id) as key from events where event_type = 'purchase'")
+@query("""with k as (select user_id, bool_or(event_type = 'purchase') as member from events group by user_id)
+select count(*) filter (member) as n_members, 0::bigint as n_members_missed, true as rate_kept from k""")
 def k10_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that ever held a purchase: a filter of those, all keys tried against it, the few false positives removed."""
+    """A filter of the keys that ever held a purchase, sized by their number: it must miss none, and let through few others."""
+    keys = _operations(spark, sf_dir).groupBy("key").agg(F.bool_or(F.col("value") == "purchase").alias("member"))
+    members = keys.where("member")
+    bits, hashes = kv.bloom_size(members.count(), 0.01)
+    maybe = kv.bloom_contains(keys, "key", kv.bloom_filter(members, "key", bits, hashes), bits, hashes)
+    of = maybe.agg(F.count_if("member").alias("hit"), F.count_if(~F.col("member")).alias("wrong"))
+    all_of = keys.agg(F.count_if("member").alias("n_members"), F.count_if(~F.col("member")).alias("others"))
+    # the rate is that of the filter; with few others chance may double it
+    kept = F.col("wrong") <= F.lit(5) + F.col("others") * 0.02
+    return all_of.join(F.broadcast(of), F.lit(True)).select("n_members", (F.col("n_members") - F.col("hit")).alias("n_members_missed"), kept.alias("rate_kept"))  # one row each
+
+
+@query(f"with {_LAST} select key, is_deleted, row_number() over (order by key) as place from L")
+def k7_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys in order, deleted ones among them; Spark's increasing numbers of the sorted rows tell the order."""
+    ordered = kv.listing(_operations(spark, sf_dir), tombstones=True).select("key", "is_deleted").withColumn("id", F.monotonically_increasing_id())
+    counts = ordered.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.alias("x").join(counts.alias("y"), F.col("y.part") < F.col("x.part"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))  # a row per partition
+    place = F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before") + 1
+    return ordered.join(F.broadcast(before), F.shiftright("id", 33) == F.col("part")).select("key", "is_deleted", place.alias("place"))
+
+
+@query(f"with {_LAST} select key, value from L where not is_deleted and key <> 'user/00000042' union all select 'user/00000042', 'second' union all select 'zone/1', 'new'")
+def k1_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puts on top of the log, two of one key; a deleted key stays deleted."""
+    log = kv.put(_operations(spark, sf_dir), [("user/00000042", "first"), ("user/00000042", "second"), ("zone/1", "new"), ("zone/2", "gone")], 1 << 60)
+    return kv.newest(kv.delete(log, ["zone/2"], (1 << 60) + 1)).select("key", "value")
+
+
+@query(f"with {_LAST} select exists (from L where not is_deleted and key = 'user/00000042') as there, exists (from L where not is_deleted and key = 'user/none') as nowhere")
+def k4_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _operations(spark, sf_dir)
-    bought = log.where(F.col("value") == "purchase")
-    bits, hashes = kv.bloom_size(100_000, 0.01)
-    maybe = kv.bloom_contains(log, "key", kv.bloom_filter(bought, "key", bits, hashes), bits, hashes)
-    return maybe.join(bought.select("key").distinct(), "key", "left_semi")
+    return _row(spark, there=kv.contains(log, "user/00000042"), nowhere=kv.contains(log, "user/none"))
+
+
+@query(f"with {_LAST} select key, value from L where not is_deleted order by key desc limit 1")
+def k8_seek_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.seek(_operations(spark, sf_dir), last=True).select("key", "value")
+
+
+@query(f"with {_AS_OF} select key, value, version from L where not is_deleted")
+def k13_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state at a time, written as a table of its own and read."""
+    path = scratch_path(spark)
+    kv.recover_to(_operations(spark, sf_dir), "2024-01-15 00:00:00", path)
+    return spark.read.parquet(path).select("key", "value", "version")
 
 
 # ---------------------------------------------------------------- log replay
@@ -387,6 +454,58 @@ def g8_replay_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.replay_stats(_log(spark, sf_dir))
 
 
+def _stored_log(spark: SparkSession, sf_dir: str) -> LogStore:
+    stored = LogStore(spark, scratch_path(spark))
+    stored.extend(_log(spark, sf_dir))
+    return stored
+
+
+@query(f"with {_STATES} select count(*) as n_records, count(*) filter (bad) as n_corrupted, 1::bigint as n_changed from B")
+def g1_sealed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a stored log: those corrupted as they came, and one whose value is changed after sealing."""
+    log = _stored_log(spark, sf_dir).read()
+    first = log.where(F.col("type") == 1).agg(F.min("seq")).first()[0]
+    changed = log.withColumn("value", F.when(F.col("seq") == first, F.lit("other")).otherwise(F.col("value")))
+    counted = changed.agg(F.count(F.lit(1)).alias("n_records")).join(F.broadcast(oplog.corrupted(changed).agg(F.count(F.lit(1)).alias("c"))), F.lit(True))  # one row each
+    before = F.broadcast(oplog.corrupted(log).agg(F.count(F.lit(1)).alias("n_corrupted")))
+    return counted.join(before, F.lit(True)).select("n_records", "n_corrupted", (F.col("c") - F.col("n_corrupted")).alias("n_changed"))
+
+
+@query("select 'key2' as key, 'b' as value union all select 'key3', 'c'")
+def g2_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Begin, commit and rollback markers in a log written record by record."""
+    stored = LogStore(spark, scratch_path(spark))
+    stored.append([(3, None, None, 1, None), (1, "key1", "a", 1, 1), (5, None, None, 1, None)])
+    stored.append([(3, None, None, 2, None), (1, "key2", "b", 2, 2), (4, None, None, 2, None), (1, "key3", "c", 0, 3), (1, "key4", "d", 7, 4)])
+    return oplog.replay(stored.read(), strict=True)
+
+
+@query(f"with {_STATES} select bool_or(bad) as refused, true as passed from B")
+def g7_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict replay of the stored log fails on its corrupted records, and passes without them."""
+    log = _stored_log(spark, sf_dir).read()
+
+    def refused(part: DataFrame) -> bool:
+        try:
+            oplog.replay(part, strict=True)
+        except oplog.CorruptedLog:
+            return True
+        return False
+
+    good = log.join(oplog.corrupted(log).select("seq"), "seq", "left_anti")
+    return _row(spark, refused=refused(log), passed=not refused(good))
+
+
+@query("select max(seq) + 1 as next_seq, 'late' as key, 'x' as value, 1::bigint as n_records from wal_records")
+def g9_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After truncation a stored log holds only what came later, and its numbers go on."""
+    stored = _stored_log(spark, sf_dir)
+    stored.truncate()
+    first = stored.append([(1, "late", "x", 0, 1)])
+    stored.vacuum()
+    return oplog.replay(stored.read()).select(F.lit(first).cast("bigint").alias("next_seq"), "key", "value", F.lit(stored.read().count()).cast("bigint").alias("n_records"))
+
+
 # ---------------------------------------------------------------- writes
 
 
@@ -433,7 +552,7 @@ def x_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> GraphSession:
-    session = GraphSession.open(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    session = GraphSession.open(spark, scratch_path(spark))
     session.store.load(_g(spark, sf_dir))
     return session
 
@@ -488,5 +607,122 @@ def k18_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = _stored(spark, sf_dir)
     _depot(session, "COMMIT")
     session.store.compact()
-    session.store.vacuum()
+    session.store.vacuum(older_than=0)
     return reads.label_counts(GraphSession.open(spark, session.store.path).store.graph().nodes)
+
+
+@query(f"with {_N} select true as refused, (select count(*) from N) as n_seen, (select count(*) from N) + 1 as n_now")
+def t4_read_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read-only transaction can't write and keeps its version while another commits."""
+    session = _stored(spark, sf_dir)
+    m = session.transactions
+    reader = m.begin(read_only=True)
+    try:
+        m.create_node(reader, "Depot")
+        refused = False
+    except TransactionError:
+        refused = True
+    session.execute('CREATE_NODE(label: "Depot")')
+    seen = m.view(reader).nodes.count()
+    m.commit(reader)
+    return _row(spark, refused=refused, n_seen=seen, n_now=session.store.graph().nodes.count())
+
+
+@query("select 'high,low' as turns, 1::bigint as n_timed_out, 3::bigint as n_begun")
+def t5_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writers wait by priority; one that waits too long gives up."""
+    import threading
+    import time
+
+    m = GraphSession.open(spark, scratch_path(spark)).transactions
+    first, turns = m.begin(), []
+
+    def wait(priority: int, name: str) -> None:
+        tx = m.begin(priority=priority)
+        turns.append(name)
+        m.rollback(tx)
+
+    waiting = [threading.Thread(target=wait, args=x) for x in ((LOW, "low"), (HIGH, "high"))]
+    for n, t in enumerate(waiting, 1):
+        t.start()
+        while m.stats()["waiting"] < n:
+            time.sleep(0.01)
+    try:
+        m.begin(timeout=0.05)
+    except TransactionError:
+        pass
+    m.rollback(first)
+    for t in waiting:
+        t.join()
+    return _row(spark, turns=",".join(turns), n_timed_out=m.stats()["timed_out"], n_begun=m.stats()["begun"])
+
+
+@query("select 3::bigint as n_begun, 1::bigint as n_committed, 1::bigint as n_rolled_back, 1::bigint as n_open")
+def t10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = GraphSession.open(spark, scratch_path(spark)).transactions
+    for end in (m.commit, m.rollback):
+        tx = m.begin()
+        m.create_node(tx, "A")
+        end(tx)
+    m.begin()
+    stats = m.stats()
+    return _row(spark, n_begun=stats["begun"], n_committed=stats["committed"], n_rolled_back=stats["rolled_back"], n_open=stats["open"])
+
+
+@query(f"with {_N} select label, count(*) as n from N group by label")
+def t11_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer that ended before it published leaves files that no reader of the reopened store sees."""
+    session = _stored(spark, sf_dir)
+    m = session.transactions
+    tx = m.begin()
+    m.create_node(tx, "Depot")
+    session.store._write(*m._delta(tx))  # and then nothing more
+    return reads.label_counts(GraphSession.open(spark, session.store.path).store.graph().nodes)
+
+
+@query(f"with {_N} select label, count(*) as n from (select label from N union all select 'Depot') group by label")
+def k16_vacuum_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a commit under way, and of a version that a reader has pinned, survive the removal of old files."""
+    session = _stored(spark, sf_dir)
+    store, m = session.store, session.transactions
+    reader = m.begin(read_only=True)
+    tx = m.begin()
+    m.create_node(tx, "Depot")
+    folder = store._write(*m._delta(tx))
+    store.compact()
+    store.vacuum(older_than=0)
+    base = store.manifest()
+    store._next(base, [*base.folders, folder], [*base.rows, 1], tx.next_node, tx.next_edge, 1)
+    if m.view(reader).nodes.isEmpty():
+        raise GraphError("the pinned version is gone")
+    return reads.label_counts(store.graph().nodes)
+
+
+@query(f"with {_N} select label, count(*) as n from (select label from N union all select 'Depot' from range(12)) group by label")
+def k14_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small commits: their deltas are folded in tiers, the base is left alone."""
+    session = _stored(spark, sf_dir)
+    base = session.store.manifest().folders[0]
+    for _ in range(12):
+        session.execute('CREATE_NODE(label: "Depot")')
+    now = session.store.manifest()
+    if now.folders[0] != base or len(now.folders) > session.store.compact_after:
+        raise GraphError("the base was rewritten, or the deltas weren't folded")
+    return reads.label_counts(session.store.graph().nodes)
+
+
+@query(f"with {_N}, {_E} select (select count(*) from N) as n_nodes, (select count(*) from E) as n_edges")
+def s5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph saved as JSON lines and loaded again."""
+    nodes, edges = scratch_path(spark), scratch_path(spark)
+    g = _g(spark, sf_dir)
+    files.save(Graph(g.nodes, g.edges.orderBy("ord").withColumn("ord", F.monotonically_increasing_id())), nodes, edges, "json")
+    back = files.load(spark, nodes, edges, "json")
+    return back.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).join(F.broadcast(back.edges.agg(F.count(F.lit(1)).alias("n_edges"))), F.lit(True))  # one row each
+
+
+@query(f"with {_N} select 'nodes' as kind, id, label from N where label = 'Nation'")
+def s7_streamed_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result's rows fetched one by one."""
+    rows = [(kind, r["id"], r["label"]) for kind, r in _find(spark, sf_dir, 'FIND_NODES_BY_LABEL(label: "Nation")').rows()]
+    return spark.createDataFrame(rows, "kind string, id bigint, label string")

@@ -45,6 +45,11 @@ def scan(log: DataFrame, prefix: str = "", limit: int | None = None, start: str
     return found if limit is None else found.orderBy("key").limit(limit)
 
 
+def listing(log: DataFrame, tombstones: bool = False) -> DataFrame:
+    """Keys in order with what they hold; deleted ones only with ``tombstones``."""
+    return newest(log, tombstones=tombstones).orderBy("key")
+
+
 def seek(log: DataFrame, key: str | None = None, last: bool = False) -> DataFrame:
     """The first living key at or after ``key`` (any, by default), or the last: one row or none."""
     found = newest(log if key is None else log.where(F.col("key") >= key))
@@ -106,6 +111,10 @@ def stats(log: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- Bloom filters
 
 
+#: Bits up to which a filter's words are broadcast (a million rows).
+MOST_BROADCAST_BITS = 63 << 20
+
+
 def bloom_size(n: int, rate: float) -> tuple[int, int]:
     """Bits and hash functions of a filter for ``n`` keys with so many false positives."""
     if not 0 < rate < 1:
@@ -129,11 +138,18 @@ def bloom_filter(keys: DataFrame, column: str, bits: int, hashes: int) -> DataFr
 
 
 def bloom_contains(probes: DataFrame, column: str, words: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """Distinct keys of ``probes`` that may be in the filter: all that are, and few others."""
-    at = probes.where(F.col(column).isNotNull()).select(column).distinct().select(column, F.explode(F.array_distinct(_places(column, bits, hashes))).alias("at"))
-    hit = at.join(words, F.floor(F.col("at") / 63).cast("bigint") == F.col("word"), "left")
-    there = F.coalesce(F.col("mask").bitwiseAND(F.expr(_BIT)) != 0, F.lit(False))
-    return hit.groupBy(column).agg(F.min(there).alias("maybe")).where("maybe").select(column)
+    """The rows of ``probes`` whose key may be in the filter: all that are, and few others.
+
+    Each hash function is a semi-join with the filter's words, so rows drop out one after another and
+    none is shuffled as long as the words (at most ``bits`` / 63) are few enough to be broadcast.
+    """
+    words = F.broadcast(words) if bits <= MOST_BROADCAST_BITS else words
+    left = probes.where(F.col(column).isNotNull())
+    for i in range(hashes):
+        place = F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits))
+        set_there = F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(63)).cast("int"))) != 0
+        left = left.join(words, (F.floor(place / 63).cast("bigint") == F.col("word")) & set_there, "left_semi")
+    return left
 
 
 def bloom_rate(words: DataFrame, bits: int, hashes: int) -> DataFrame:

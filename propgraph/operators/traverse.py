@@ -1,24 +1,30 @@
 """Breadth-first and depth-first traversal and shortest paths, level by level.
 
-A level is one join of the frontier with the edges. Of the ways to a new node the one discovered first
-wins: by the place of its parent in the queue, outgoing before incoming, then the edge's order. A
-level's places come from a range sort and Spark's increasing numbers, which compare alike but need no
-single task. Levels and a narrow copy of the edges are written to the shared folder, which cuts
-lineage. A frontier is broadcast only while its counted rows are at most ``FEW``.
+The steps of the graph are written once, clustered by the node they start from (heavy nodes are split
+by the node they lead to), so a level reads only the files and row groups of its frontier: a frontier
+of at most ``NAMED`` nodes is put into the filter that is pushed down to the scan, one of at most
+``FEW`` counted rows is broadcast, a larger one is joined by shuffle. Levels are written, too, which
+cuts lineage.
+
+In a traversal, of the ways to a new node the one discovered first wins: by the place of its parent in
+the queue, outgoing before incoming, then the edge's order. A level's places come from a range sort
+and Spark's increasing numbers, which compare alike but need no single task. Paths need no places: the
+search goes out from both ends, the smaller frontier first, until they meet; the path that
+breadth-first discovery would find is the one whose steps come first, looked up hop by hop among the
+nodes that lie on shortest paths.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..model import Graph, GraphError, NotFound
 from ..plans.language import MOST_HOPS
 from ..runtime import materialize
 from .reads import require_node
 
-FEW = 100_000
+NAMED, FEW = 1_000, 100_000
 #: Nodes that a depth-first traversal, which is sequential, may hold in its one task.
 MOST_DFS = 1_000_000
 
@@ -35,46 +41,54 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
     return {"outgoing": out, "incoming": into, "both": out.unionByName(into)}[direction]
 
 
-def _levels(graph: Graph, edges: DataFrame, source: int, direction: str, max_depth: int, existing: bool, target: int | None = None, stop: Column | None = None) -> list[DataFrame]:
-    """The reached nodes of each depth: ``id, depth, parent_id, ord, place``.
+def adjacency(graph: Graph, direction: str) -> DataFrame:
+    """The steps in that direction, ``a, b, way, ord, edge_id``, written in ranges of ``a``."""
+    edges = ends(graph)
+    out = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.lit(0).alias("way"), "ord", "edge_id")
+    into = edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"), F.lit(1).alias("way"), "ord", "edge_id")
+    chosen = {"outgoing": out, "incoming": into}.get(direction)
+    if chosen is None:  # one scan of the edges for both ways
+        ways = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.lit(w).alias("way")) for w, (x, y) in enumerate((("source_id", "target_id"), ("target_id", "source_id")))))
+        chosen = edges.select(F.explode(ways).alias("s"), "ord", "edge_id").select("s.*", "ord", "edge_id")
+    return materialize(chosen.repartitionByRange("a", "b").sortWithinPartitions("a", "b"))
 
-    ``edges``: those of ``ends``, written. ``existing``: only nodes that exist are reached. ``stop``: a condition on nodes; the traversal ends
-    with the first discovered node that meets it. ``ord`` is that of the edge that led to the node.
+
+def _from(ways: DataFrame, frontier: DataFrame, size: int) -> DataFrame:
+    """The steps that start in ``frontier`` (a column ``a`` and others), of which only those files are read that may hold some."""
+    if size <= NAMED:
+        ways = ways.where(F.col("a").isin([r.a for r in frontier.select("a").collect()]))
+    return ways.join(F.broadcast(frontier) if size <= FEW else frontier, "a")
+
+
+def _levels(graph: Graph, source: int, direction: str, max_depth: int, stop: Column | None = None) -> list[DataFrame]:
+    """The reached nodes of each depth that exist: ``id, depth, parent_id, place``.
+
+    ``stop``: a condition on nodes; the traversal ends with the first discovered node that meets it.
     """
     spark = graph.nodes.sparkSession
-    ways = steps(edges, direction)
     start = spark.createDataFrame([(source,)], "id bigint").select(
-        "id", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(None).cast(ways.schema["ord"].dataType).alias("ord"), F.lit(0).cast("bigint").alias("place")
+        "id", F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(0).cast("bigint").alias("place")
     )
     levels = [start]  # one row, made on the driver
     if stop is not None and not graph.nodes.where((F.col("id") == source) & stop).isEmpty():
         return levels
-    known = materialize(graph.nodes.select("id")) if existing else None
+    ways, known = adjacency(graph, direction), materialize(graph.nodes.select("id"))
     visited, size = levels[0].select("id"), 1
     for depth in range(1, max_depth + 1):
-        frontier = levels[-1].select(F.col("id").alias("a"), "place")
-        met = ways.join(F.broadcast(frontier) if size <= FEW else frontier, "a")
+        met = _from(ways, levels[-1].select(F.col("id").alias("a"), "place"), size)
         # map-side combine leaves one way per new node and task before anything is compared with the visited
         best = met.groupBy("b").agg(F.min(F.struct("place", "way", "ord", "a")).alias("m"))
-        new = best.join(visited, F.col("b") == F.col("id"), "left_anti")
-        if known is not None:
-            new = new.join(known, F.col("b") == F.col("id"), "left_semi")
-        level = new.orderBy("m").select(
-            F.col("b").alias("id"), F.lit(depth).alias("depth"), F.col("m.a").alias("parent_id"), F.col("m.ord").alias("ord"), F.monotonically_increasing_id().alias("place")
-        )
-        level = materialize(level)
+        new = best.join(visited, F.col("b") == F.col("id"), "left_anti").join(known, F.col("b") == F.col("id"), "left_semi")
+        level = materialize(new.orderBy("m").select(F.col("b").alias("id"), F.lit(depth).alias("depth"), F.col("m.a").alias("parent_id"), F.monotonically_increasing_id().alias("place")))
         if stop is not None:
             first = level.join(graph.nodes.where(stop).select("id"), "id", "left_semi").agg(F.min("place").alias("p")).where("p is not null")
             if not first.isEmpty():
                 levels.append(level.join(F.broadcast(first), F.col("place") <= F.col("p")).drop("p"))
                 return levels
-        seen = level.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("id") == F.lit(-1 if target is None else target)).alias("hit")).first()
-        size = seen.n
+        size = level.count()  # from the files' footers
         if not size:
             break
         levels.append(level)
-        if seen.hit:
-            break
         visited = visited.unionByName(level.select("id"))
     return levels
 
@@ -89,7 +103,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def bfs(graph: Graph, source: str | int, direction: str = "both", max_depth: int = 10, stop: Column | None = None) -> DataFrame:
     """``id, depth, parent_id, place``: every node within ``max_depth``, once, at its least depth; ``place`` sorts a depth in order of visit."""
     n = require_node(graph, source, "source node")
-    return _union(_levels(graph, materialize(ends(graph)), n, direction, max_depth if max_depth > 0 else 10, True, stop=stop)).drop("ord")
+    return _union(_levels(graph, n, direction, max_depth if max_depth > 0 else 10, stop))
 
 
 def depth_counts(visited: DataFrame) -> DataFrame:
@@ -107,27 +121,54 @@ def find_path(graph: Graph, source: str | int, target: str | int, max_hops: int
     none = "pos int, node_id bigint, edge_id string"
     if a == b:
         return spark.createDataFrame([(0, a, None)], none)
-    edges = materialize(ends(graph))
-    levels = _levels(graph, edges, a, "both", max(1, min(max_hops, MOST_HOPS)), False, target=b)
-    back, node = [], b
-    for level in reversed(levels[1:]):  # a row per hop
-        row = level.where(F.col("id") == node).select("parent_id", "ord").first()
-        if row is None:
-            return spark.createDataFrame([], none)
-        back.append((node, row.ord))
-        node = row.parent_id
-    back.reverse()
-    if not back:
+    ways = adjacency(graph, "both")
+    sides = _meet(spark, ways, a, b, max(1, min(max_hops, MOST_HOPS)))
+    if sides is None:
         return spark.createDataFrame([], none)
-    wanted = spark.createDataFrame([(i, o) for i, (_, o) in enumerate(back, 1)], T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ord", graph.edges.schema["ord"].dataType)]))
-    edge = {r.pos: r.edge_id for r in edges.join(F.broadcast(wanted), "ord").select("pos", "edge_id").collect()}  # a row per hop
-    rows = [(0, a, None)] + [(i, n, edge.get(i)) for i, (n, _) in enumerate(back, 1)]
+    rows, node = [(0, a, None)], a
+    for pos, near in enumerate(_between(*sides), 1):  # a row per hop
+        onward = ways.where(F.col("a") == node).join(near, F.col("b") == F.col("id"), "left_semi")
+        step = onward.orderBy("way", "ord").select("b", "edge_id").first()
+        node = step.b
+        rows.append((pos, node, step.edge_id))
     inner = [r[1] for r in rows[1:-1]]
     if inner and graph.nodes.where(F.col("id").isin(inner)).select("id").distinct().count() < len(set(inner)):
         raise NotFound("a node on the path is not found")
     return spark.createDataFrame(rows, none)
 
 
+def _meet(spark, ways: DataFrame, a: int, b: int, most: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]] | None:
+    """The steps, and the levels of ids around ``a`` and around ``b`` up to and including where they meet; None beyond ``most`` hops."""
+    sides = [[spark.createDataFrame([(x,)], "id bigint")] for x in (a, b)]
+    sizes, seen = [1, 1], [sides[0][0], sides[1][0]]
+    for _ in range(most):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        met = _from(ways, sides[side][-1].select(F.col("id").alias("a")), sizes[side]).select(F.col("b").alias("id")).distinct()
+        level = materialize(met.join(seen[side], "id", "left_anti"))
+        sizes[side] = level.count()
+        if not sizes[side]:
+            return None
+        sides[side].append(level)
+        seen[side] = seen[side].unionByName(level)
+        if not level.join(sides[1 - side][-1], "id", "left_semi").isEmpty():
+            return ways, sides[0], sides[1]
+    return None
+
+
+def _between(ways: DataFrame, near: list[DataFrame], far: list[DataFrame]) -> list[DataFrame]:
+    """For each hop from ``near``'s start, the nodes it may lead to on a shortest path.
+
+    The levels last found on either side meet. Levels of the near side keep only what leads there.
+    """
+    kept = [near[-1].join(far[-1], "id", "left_semi")]
+    for level in reversed(near[1:-1]):  # the first level is the start itself
+        back = _from(ways, kept[0].select(F.col("id").alias("a")), FEW + 1).select(F.col("b").alias("id")).distinct()
+        kept.insert(0, materialize(level.join(back, "id", "left_semi")))
+    if len(near) == 1:  # the far side came all the way
+        kept = []
+    return [*kept, *reversed(far[:-1])]
+
+
 def dfs(graph: Graph, source: str | int, direction: str = "both", max_depth: int = 10, stop: Column | None = None) -> DataFrame:
     """Pre-order of nodes at depths below ``max_depth``: ``visit_order, id, depth, parent_id``.
 
@@ -136,11 +177,10 @@ def dfs(graph: Graph, source: str | int, direction: str = "both", max_depth: int
     """
     n = require_node(graph, source, "source node")
     limit = max_depth if max_depth > 0 else 10
-    edges = materialize(ends(graph))
-    reach = materialize(_union(_levels(graph, edges, n, direction, max(0, limit - 1), True)).select("id"))
+    reach = materialize(_union(_levels(graph, n, direction, max(0, limit - 1))).select("id"))
     if reach.count() > MOST_DFS:
         raise GraphError(f"more than {MOST_DFS} nodes in reach of a depth-first traversal")
-    ways = steps(edges, direction).select("a", "b").join(reach, F.col("a") == F.col("id"), "left_semi").join(reach, F.col("b") == F.col("id"), "left_semi").distinct()
+    ways = steps(ends(graph), direction).select("a", "b").join(reach, F.col("a") == F.col("id"), "left_semi").join(reach, F.col("b") == F.col("id"), "left_semi").distinct()
     closing = (graph.nodes.where(stop).select("id") if stop is not None else graph.nodes.where(F.lit(False)).select("id")).join(reach, "id", "left_semi")
     marked = ways.unionByName(closing.select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b")))
     root = graph.nodes.sparkSession.createDataFrame([(n, n)], "a bigint, b bigint")

@@ -60,8 +60,35 @@ def test_stored_table_in_any_order(spark, rows, tmp_path):
     assert rows(t.read()) == brute(log)
 
 
+def test_two_writers_and_nothing(spark, rows, tmp_path):
+    one, two = (changes.EqualityDeleteTable(spark, str(tmp_path / "t")) for _ in range(2))
+    assert rows(one.read()) == [] and one.batches() == []
+    publish = one.manifests.publish
+
+    def late(number, content):  # the other writer comes in between
+        one.manifests.publish = publish
+        two.append(spark.createDataFrame([(2, 1, "b", "y", None, 0, 2)], LOG))
+        publish(number, content)
+
+    one.manifests.publish = late
+    one.append(spark.createDataFrame([(1, 1, "a", "x", None, 0, 1)], LOG))
+    assert rows(two.read()) == [("a", 1, "x"), ("b", 2, "y")]
+
+
+def test_log_in_batches_with_transactions(spark, rows, tmp_path):
+    """Changes wait for their commit, whichever comes first, over compaction and repeated batches."""
+    log = random_log(11)
+    t = changes.EqualityDeleteTable(spark, str(tmp_path / "t"))
+    for i in range(0, len(log), 120):
+        t.append_log(spark.createDataFrame(log[i : i + 120], LOG))
+        if i == 240:
+            t.compact()
+            t.append_log(spark.createDataFrame(log[i : i + 120], LOG))
+    assert rows(t.read()) == brute(log)
+
+
 def test_stream(spark, rows, tmp_path):
-    log = [x for x in random_log(4) if x[5] == 0]
+    log = random_log(4)
     for i in range(3):
         spark.createDataFrame(log[i::3], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     t = changes.EqualityDeleteTable(spark, str(tmp_path / "t"))

@@ -8,8 +8,9 @@ from propgraph.model import Graph, GraphError, NotFound
 from propgraph.operators import index, reads, traverse, writes
 from propgraph.session import GraphSession
 
-NODES = [(1, "Person", {"name": "Alice", "age": "30"}), (2, "Person", {"name": "Bob", "age": "25"}), (3, "Person", {"name": "Charlie", "age": "35"}), (4, "Company", {"name": "Acme Inc.", "founded": "2010"}), (5, "Company", {"name": "TechCorp", "founded": "2015"})]
-EDGES = [("1-2", 1, 1, 2, "KNOWS", {"since": "2018"}), ("1-3", 2, 1, 3, "KNOWS", {"since": "2019"}), ("2-3", 3, 2, 3, "KNOWS", {"since": "2020"}), ("1-4", 4, 1, 4, "WORKS_AT", {"role": "Developer", "since": "2015"}), ("2-5", 5, 2, 5, "WORKS_AT", {"role": "Manager", "since": "2018"}), ("3-5", 6, 3, 5, "WORKS_AT", {"role": "Developer", "since": "2016"})]
+#: Three ships that follow each other and the harbours they serve; node 40 can only be reached against an edge.
+NODES = [(10, "Ship", {"title": "Petrel", "tons": "310"}), (20, "Ship", {"title": "Heron", "tons": "275"}), (30, "Ship", {"title": "Curlew", "tons": "420"}), (40, "Harbour", {"title": "Saltwick Quay", "depth": "9"}), (50, "Harbour", {"title": "Ness", "depth": "14"})]
+EDGES = [("f1", 1, 10, 20, "FOLLOWS", {"since": "spring"}), ("f2", 2, 10, 30, "FOLLOWS", {"since": "autumn"}), ("f3", 3, 20, 30, "FOLLOWS", {"since": "winter"}), ("c1", 4, 10, 40, "CALLS_AT", {"cargo": "salt", "since": "autumn"}), ("c2", 5, 20, 50, "CALLS_AT", {"cargo": "wool", "since": "spring"}), ("c3", 6, 30, 50, "CALLS_AT", {"cargo": "salt", "since": "summer"})]
 
 
 @pytest.fixture(scope="module")
@@ -21,17 +22,17 @@ def ids(df, c="id"):
     return sorted(r[0] for r in df.select(c).collect())
 
 
-@pytest.mark.parametrize("label, n", [("Person", 3), ("Company", 2), ("NonExistent", 0), ("person", 0)])
+@pytest.mark.parametrize("label, n", [("Ship", 3), ("Harbour", 2), ("Lighthouse", 0), ("ship", 0)])
 def test_nodes_by_label(g, label, n):
     assert reads.nodes_by_label(g, label).count() == n
 
 
-@pytest.mark.parametrize("label, n", [("KNOWS", 3), ("WORKS_AT", 3), ("NonExistent", 0)])
+@pytest.mark.parametrize("label, n", [("FOLLOWS", 3), ("CALLS_AT", 3), ("OWNS", 0)])
 def test_edges_by_label(g, label, n):
     assert reads.edges_by_label(g, label).count() == n
 
 
-@pytest.mark.parametrize("node, direction, nodes, n", [(1, "outgoing", [2, 3, 4], 3), (2, "both", [1, 3, 5], 3), (5, "incoming", [2, 3], 2), (4, "outgoing", [], 0)])
+@pytest.mark.parametrize("node, direction, nodes, n", [(10, "outgoing", [20, 30, 40], 3), (20, "both", [10, 30, 50], 3), (50, "incoming", [20, 30], 2), (40, "outgoing", [], 0)])
 def test_neighbours(g, node, direction, nodes, n):
     found, edges = reads.find_neighbors(g, node, direction)
     assert ids(found) == nodes and edges.count() == n
@@ -39,42 +40,42 @@ def test_neighbours(g, node, direction, nodes, n):
 
 def test_missing_start(g):
     with pytest.raises(NotFound):
-        reads.find_neighbors(g, 100)
+        reads.find_neighbors(g, 77)
     with pytest.raises(GraphError):
         reads.find_neighbors(g, "-1")
 
 
-@pytest.mark.parametrize("a, b, hops, want", [(1, 3, 2, [1, 3]), (1, 5, 3, [1, 2, 5]), (4, 5, 5, [4, 1, 2, 5]), (4, 5, 2, []), (4, 5, 3, [4, 1, 2, 5]), (3, 3, 1, [3])])
+@pytest.mark.parametrize("a, b, hops, want", [(10, 30, 4, [10, 30]), (10, 50, 2, [10, 20, 50]), (40, 50, 6, [40, 10, 20, 50]), (40, 50, 2, []), (40, 50, 3, [40, 10, 20, 50]), (50, 40, 3, [50, 20, 10, 40]), (30, 30, 1, [30])])
 def test_paths(g, a, b, hops, want):
     assert [r.node_id for r in traverse.find_path(g, a, b, hops).orderBy("pos").collect()] == want
 
 
 def test_path_edges_and_errors(g):
-    assert [r.edge_id for r in traverse.find_path(g, 1, 5, 3).orderBy("pos").collect()] == [None, "1-2", "2-5"]
+    assert [r.edge_id for r in traverse.find_path(g, 10, 50, 3).orderBy("pos").collect()] == [None, "f1", "c2"]
     with pytest.raises(NotFound):
-        traverse.find_path(g, 100, 200)
+        traverse.find_path(g, 77, 10)
 
 
 def test_properties(g):
-    assert ids(reads.nodes_by_property(g, "name", "Alice")) == [1] and ids(reads.nodes_by_property(g, " age ", "25")) == [2]
-    assert ids(reads.edges_by_property(g, "role", "Developer"), "edge_id") == ["1-4", "3-5"]
-    assert ids(reads.edges_by_property(g, "since", "2018"), "edge_id") == ["1-2", "2-5"]
-    assert ids(reads.by_number(g.nodes, "age", 26)) == [1, 3]
+    assert ids(reads.nodes_by_property(g, "title", "Petrel")) == [10] and ids(reads.nodes_by_property(g, " tons ", "275")) == [20]
+    assert ids(reads.edges_by_property(g, "cargo", "salt"), "edge_id") == ["c1", "c3"]
+    assert ids(reads.edges_by_property(g, "since", "spring"), "edge_id") == ["c2", "f1"]
+    assert ids(reads.by_number(g.nodes, "tons", 300)) == [10, 30]
 
 
 def test_bfs_depths(g):
-    assert {r.id: r.depth for r in traverse.bfs(g, 1, "both", 3).collect()} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 2}
+    assert {r.id: r.depth for r in traverse.bfs(g, 10, "both", 3).collect()} == {10: 0, 20: 1, 30: 1, 40: 1, 50: 2}
 
 
 def test_early_stop(g):
-    assert ids(traverse.bfs(g, 1, stop=F.lit(True))) == [1]
-    assert ids(traverse.bfs(g, 1, stop=F.col("id") == 3)) == [1, 2, 3]  # in order of discovery, 3 inclusive
-    assert ids(traverse.dfs(g, 1, stop=F.lit(True))) == [1]
+    assert ids(traverse.bfs(g, 10, stop=F.lit(True))) == [10]
+    assert ids(traverse.bfs(g, 10, stop=F.col("id") == 30)) == [10, 20, 30]  # in order of discovery, 30 inclusive
+    assert ids(traverse.dfs(g, 10, stop=F.lit(True))) == [10]
 
 
 def test_dfs_depth(g):
-    assert ids(traverse.dfs(g, 1, "both", 1)) == [1]
-    assert [r.id for r in traverse.dfs(g, 1, "both", 10).orderBy("visit_order").collect()] == [1, 2, 3, 5, 4]
+    assert ids(traverse.dfs(g, 10, "both", 1)) == [10]
+    assert [r.id for r in traverse.dfs(g, 10, "both", 10).orderBy("visit_order").collect()] == [10, 20, 30, 50, 40]
 
 
 def test_odd_graph(spark):
@@ -122,6 +123,23 @@ def test_bfs_against_python(spark, seed, direction):
     assert {x.id: x.depth for x in got} == depth and {x.id: x.parent_id for x in got if x.depth} == parent
 
 
+@pytest.mark.parametrize("seed", [4, 9])
+def test_paths_against_python(spark, seed):
+    """Every path is the one that a queue discovers first, from whichever end the search is cheaper."""
+    r = random.Random(seed)
+    edges = [(f"e{i}", i, r.randrange(40), r.randrange(40), "E", {}) for i in range(60)]
+    g = Graph.of(spark, [(i, "N", {}) for i in range(40)], edges)
+    depth, parent = python_bfs(edges, set(range(40)), 0, "both", 10)
+    for b in r.sample(sorted(depth), 6):
+        want = [b]
+        while want[-1] != 0:
+            want.append(parent[want[-1]])
+        rows = traverse.find_path(g, 0, b, 10).orderBy("pos").collect()
+        assert [x.node_id for x in rows] == want[::-1]
+        ends = {e[0]: {e[2], e[3]} for e in edges}
+        assert all(ends[y.edge_id] == {x.node_id, y.node_id} for x, y in zip(rows, rows[1:], strict=False))
+
+
 def test_dfs_against_python(spark):
     r = random.Random(5)
     edges = [(f"e{i}", i, r.randrange(15), r.randrange(15), "E", {}) for i in range(30)]
@@ -143,38 +161,38 @@ def test_dfs_against_python(spark):
 
 def test_property_index(g, spark):
     p = index.property_table(g.nodes)
-    assert ids(index.holding(p, "name", "Alice"), "entity_id") == [1] and ids(index.having(p, "age"), "entity_id") == [1, 2, 3]
-    assert index.first_holding(p, "name", "Nobody").count() == 0
-    assert index.contains(p, "age").first().present and not index.contains(p, "age", "99").first().present
-    assert ids(index.having(index.without(p, "age", "30"), "age"), "entity_id") == [2, 3]
-    assert ids(index.in_range(p, "age", 25, 30), "entity_id") == [1, 2] and ids(index.with_token(p, "name", "acme"), "entity_id") == [4]
+    assert ids(index.holding(p, "title", "Petrel"), "entity_id") == [10] and ids(index.having(p, "tons"), "entity_id") == [10, 20, 30]
+    assert index.first_holding(p, "title", "Nobody").count() == 0
+    assert index.contains(p, "tons").first().present and not index.contains(p, "tons", "99").first().present
+    assert ids(index.having(index.without(p, "tons", "310"), "tons"), "entity_id") == [20, 30]
+    assert ids(index.in_range(p, "tons", 270, 310), "entity_id") == [10, 20] and ids(index.with_token(p, "title", "quay"), "entity_id") == [40]
 
 
 def test_value_types(spark):
-    want = {"Alice": "string", "30": "numeric", "98.5": "numeric", "true": "boolean", "FALSE": "boolean", " 30": "string", "30d": "string", "1e999": "string", "-Inf": "numeric", "nan": "numeric", ".5": "numeric", "5.": "numeric", "": "string", "+": "string", "1e5": "numeric"}
+    want = {"Petrel": "string", "30": "numeric", "98.5": "numeric", "true": "boolean", "FALSE": "boolean", " 30": "string", "30d": "string", "1e999": "string", "-Inf": "numeric", "nan": "numeric", ".5": "numeric", "5.": "numeric", "": "string", "+": "string", "1e5": "numeric"}
     df = spark.createDataFrame([(k,) for k in want], "v string")
     assert {r.v: r.t for r in df.select("v", index.value_type(F.col("v")).alias("t")).collect()} == want
 
 
 def test_batch_writes(g, spark):
-    gone = spark.createDataFrame([(1,)], "id bigint")
+    gone = spark.createDataFrame([(10,)], "id bigint")
     left = writes.delete_nodes(g, gone)
-    assert left.edges.count() == 6 and ids(left.nodes) == [2, 3, 4, 5]
-    assert ids(writes.delete_nodes(g, gone, cascade=True).edges, "edge_id") == ["2-3", "2-5", "3-5"]
-    updates = spark.createDataFrame([(1, "age", "31", 1), (1, "age", "32", 2), (2, "new", "x", 1)], "id bigint, name string, value string, seq int")
+    assert left.edges.count() == 6 and ids(left.nodes) == [20, 30, 40, 50]
+    assert ids(writes.delete_nodes(g, gone, cascade=True).edges, "edge_id") == ["c2", "c3", "f3"]
+    updates = spark.createDataFrame([(10, "tons", "311", 1), (10, "tons", "312", 2), (20, "new", "x", 1)], "id bigint, name string, value string, seq int")
     bags = {r.id: r.properties for r in writes.set_properties(g.nodes, "id", updates).collect()}
-    assert bags[1] == {"name": "Alice", "age": "32"} and bags[2] == {"name": "Bob", "age": "25", "new": "x"} and bags[3] == NODES[2][2]
-    assert ids(writes.invalid_ends(left.edges, left.nodes)) == [1]
-    more = spark.createDataFrame([("n", 9, 1, 100, "X", {})], g.edges.schema)
-    with pytest.raises(Exception, match="node not found: 100"):
+    assert bags[10] == {"title": "Petrel", "tons": "312"} and bags[20] == {"title": "Heron", "tons": "275", "new": "x"} and bags[30] == NODES[2][2]
+    assert ids(writes.invalid_ends(left.edges, left.nodes)) == [10]
+    more = spark.createDataFrame([("n", 9, 10, 77, "X", {})], g.edges.schema)
+    with pytest.raises(Exception, match="node not found: 77"):
         writes.add_edges(g, more).edges.collect()
 
 
 def test_session_reads(g):
     s = GraphSession(graph=g)
-    d = s.execute('FIND_PATH(sourceId: "1", targetId: "5", maxHops: "x")').to_dict()
-    assert [x["label"] for x in d["path"]] == ["Person", "Person", "Company"]
-    d = s.execute('{"type": "FIND_NEIGHBORS", "parameters": {"nodeId": "1", "direction": "outgoing"}}').to_dict()
+    d = s.execute('FIND_PATH(sourceId: "10", targetId: "50", maxHops: "x")').to_dict()
+    assert [x["label"] for x in d["path"]] == ["Ship", "Ship", "Harbour"]
+    d = s.execute('{"type": "FIND_NEIGHBORS", "parameters": {"nodeId": "10", "direction": "outgoing"}}').to_dict()
     assert len(d["nodes"]) == 3 and len(d["edges"]) == 3
     with pytest.raises(GraphError):
         s.execute('CREATE_NODE(label: "X")')

@@ -2,9 +2,11 @@ import datetime as dt
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from propgraph.model import GraphError, NotFound
 from propgraph.operators import kv, oplog
+from propgraph.sources.log import LogStore
 
 T0 = dt.datetime(2025, 1, 1)
 LOG = "seq bigint, type int, key string, value string, ts timestamp_ntz, tx_id bigint, version bigint"
@@ -70,14 +72,53 @@ def test_replay(spark):
     assert {r.key: r.value for r in oplog.replay(log).collect()} == {"key1": "value1", "key6": "new"}
     assert {r.key for r in oplog.replay(log, atomic=False).collect()} == {"key1", "key3", "key5", "key6"}
     assert {r.tx_id: r.state for r in oplog.classify(log).collect()} == {7: "committed", 8: "rolled_back", 9: "active", 10: "corrupted"}
-    with pytest.raises(Exception, match="corrupted log record"):
-        oplog.replay(log, strict=True).collect()
+    with pytest.raises(oplog.CorruptedLog):
+        oplog.replay(log, strict=True)
     s = oplog.replay_stats(log).first()
     assert (s.n_records, s.n_corrupted, s.n_puts, s.n_transactions, s.n_applied) == (14, 1, 7, 4, 5)
-    assert oplog.replay(oplog.append(log, [(1, "key7", "v", 0, 20)], 100)).count() == 3 and oplog.truncate(log).count() == 0
     assert oplog.replay(log.limit(0)).count() == 0
 
 
+def test_strict_replay_sees_corruption_in_files_of_its_own(spark, tmp_path):
+    """Filters that are pushed down to the scan must not hide it."""
+    good = spark.createDataFrame([(i, 1, f"k{i}", "v", None, 0, i) for i in range(50)], LOG)
+    for part in (good, spark.createDataFrame([(99, 9, None, None, None, 0, None)], LOG)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    with pytest.raises(oplog.CorruptedLog):
+        oplog.replay(log, strict=True)
+    assert oplog.replay(log).count() == 50 and oplog.replay(log.where("seq < 99"), strict=True).count() == 50
+
+
+def test_checksums(spark):
+    log = oplog.sealed(spark.createDataFrame([(1, 1, "a", "x", T0, 0, 1), (2, 1, "b", None, None, 3, 2), (3, 4, None, None, None, 3, None)], LOG))
+    assert oplog.corrupted(log).count() == 0 and oplog.replay(log, strict=True).count() == 2
+    for change in ({"value": F.lit("")}, {"ts": F.lit(None).cast("timestamp_ntz")}, {"version": F.col("version") + 1}, {"checksum": F.lit(None).cast("bigint")}):
+        assert oplog.corrupted(log.withColumns(change)).count() > 0
+    changed = log.withColumn("value", F.when(F.col("key") == "a", F.lit("y")).otherwise(F.col("value")))
+    assert [r.seq for r in oplog.corrupted(changed).collect()] == [1]
+    assert {r.key for r in oplog.replay(changed).collect()} == {"b"}
+    with pytest.raises(oplog.CorruptedLog):
+        oplog.replay(changed, strict=True)
+    assert {r.tx_id: r.state for r in oplog.classify(log.withColumn("value", F.lit("z"))).collect()} == {3: "corrupted"}
+
+
+def test_stored_log(spark, tmp_path):
+    one, two = (LogStore(spark, str(tmp_path / "log")) for _ in range(2))
+    assert one.read().count() == 0
+    assert one.append([(1, "a", "x", 0, 1), (1, "b", "y", 0, 2)], T0) == 1 and two.append([(2, "a", None, 0, 3)]) == 3
+    assert {r.key for r in oplog.replay(one.read(), strict=True).collect()} == {"b"}
+    one.truncate()
+    assert two.read().count() == 0 and two.append([(1, "c", "z", 0, 4)]) == 4
+    assert [(r.seq, r.key) for r in one.read().collect()] == [(4, "c")]
+    assert one.vacuum() == 2 and oplog.replay(one.read()).count() == 1
+
+
+def test_listing(ops):
+    assert [r.key for r in kv.listing(ops).collect()] == ["a1", "b"]
+    assert [(r.key, r.is_deleted) for r in kv.listing(ops, tombstones=True).collect()] == [("a1", False), ("a2", True), ("b", False)]
+
+
 def test_bloom_filter(spark):
     bits, hashes = kv.bloom_size(500, 0.01)
     assert 4700 < bits < 4900 and hashes == 7

@@ -117,11 +117,61 @@ def test_versions(spark, tmp_path):
     stale = store.manifest(1)
     with pytest.raises(GraphError, match="another writer"):
         store._publish(stale)
-    assert store.vacuum(keep=1) and store.versions() == [store.manifest().version] and store.graph().nodes.count() == 3
+    assert not store.vacuum() and len(store.versions()) > 1  # within the retention
+    assert store.vacuum(keep=1, older_than=0) and store.versions() == [store.manifest().version] and store.graph().nodes.count() == 3
     store.load(Graph.of(spark, [(10, "Z", {})], [("7", 1, 10, 10, "L", {})]))
     assert run(s, 'CREATE_NODE(label: "Y")').entity_id == "11" and store.stats()["nodes"] == 2
 
 
+def test_files_in_use_survive(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"))
+    s = GraphSession(store)
+    run(s, 'CREATE_NODE(label: "A")')
+    reader = s.transactions.begin(read_only=True)
+    writer = s.transactions.begin()
+    s.transactions.create_node(writer, "B")
+    nodes, edges = s.transactions._delta(writer)
+    folder = store._write(nodes, edges)
+    store.compact()
+    store.vacuum(older_than=0)
+    assert [r.label for r in s.transactions.view(reader).nodes.collect()] == ["A"]
+    base = store.manifest()
+    store._next(base, [*base.folders, folder], [*base.rows, 1], 3, 1, 1)
+    assert sorted(r.label for r in store.graph().nodes.collect()) == ["A", "B"]
+    s.transactions.rollback(reader)
+    s.transactions.rollback(writer)
+    assert store.vacuum(older_than=0) and sorted(r.label for r in store.graph().nodes.collect()) == ["A", "B"]
+
+
+def test_two_writers_of_one_store(spark, tmp_path):
+    """Managers of different processes: the slower commit fails and changes nothing."""
+    one, two = (TransactionManager(GraphStore(spark, str(tmp_path / "g"))) for _ in range(2))
+    a, b = one.begin(), two.begin()
+    one.create_node(a, "A")
+    two.create_node(b, "B")
+    one.commit(a)
+    with pytest.raises(GraphError, match="another writer"):
+        two.commit(b)
+    assert [r.label for r in two.store.graph().nodes.collect()] == ["A"] and two.stats()["writer"] is None
+
+
+def test_tiers_and_plans(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"), compact_after=3)
+    store.load(Graph.of(spark, [(i, "Old", {"n": str(i)}) for i in range(100)], [(str(i), i, i, i + 1, "E", {}) for i in range(99)]))
+    base, s = store.manifest().folders[0], GraphSession(store)
+    for i in range(8):
+        run(s, f'SET_PROPERTY(target: "node", id: "{i}", name: "n", value: "new")')
+    run(s, 'DELETE_NODE(id: "1")')
+    m = store.manifest()
+    assert m.folders[0] == base and len(m.folders) <= 3 and m.rows[0] == 199
+    assert store.graph().nodes.count() == 99 and run(s, 'FIND_NODES_BY_PROPERTY(propertyName: "n", propertyValue: "new")').nodes.count() == 7
+    # the label reaches the base's scan, and the base isn't shuffled
+    plan = run(s, 'FIND_NODES_BY_LABEL(label: "Old")').nodes._jdf.queryExecution().executedPlan().toString()
+    join = plan.index("LeftAnti")
+    of_base = plan[join : plan.index("BroadcastExchange", join)]
+    assert "EqualTo(label,Old)" in of_base and "hashpartitioning" not in of_base
+
+
 @pytest.mark.parametrize("kind", files.FORMATS)
 def test_files(spark, tmp_path, kind):
     g = Graph.of(spark, [(1, "A", {"k": 'v,"x'}), (2, "B", {})], [("e", 1, 1, 2, "L", {"q": "ü"})])
