@@ -7,7 +7,8 @@ are kept and their references summed by period.
 Scale: the group-by only combines flags, times and counts, on the map side first, so a key that a third
 of all rows refer to costs one row per map task. The references behind the kept groups are then looked
 up: groups of more than one ``BLOCKS``-th of all references (fewer than ``BLOCKS`` of them) by
-broadcast, all other groups by a shuffle join in which no key is heavy.
+broadcast, all other groups by a shuffle join in which no key is heavy. The groups carry the count of
+their references, so it takes no other pass to tell.
 
 Defined results: null references are ignored; a repeated child (equal id) counts once; a reference is
 ``missing`` if no parent row has the key, else ``deleted`` if all parent rows have a deletion time, else
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import heavy_keys, materialize
+from ..runtime import materialize
 
 BLOCKS = 256
 
@@ -49,8 +50,11 @@ def references(df: DataFrame, child_table: str, child_id: str, table: str, colum
     )
 
 
-def verdicts(parent_rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """Groups with at least one bad reference: ``parent_table, key, kind, parent_at``; ``kind`` null: perhaps late."""
+def verdicts(parent_rows: DataFrame, refs: DataFrame, heavy: int) -> DataFrame:
+    """Groups with at least one bad reference, and those of more than ``heavy`` references.
+
+    ``parent_table, key, kind, parent_at, is_bad, is_heavy``; ``kind`` of a bad group null: perhaps late.
+    """
     tagged = parent_rows.unionByName(
         refs.select("parent_table", "key", F.lit(False).alias("is_parent"), F.lit(False).alias("lives"), F.lit(None).cast("timestamp_ntz").alias("parent_at"), "child_at")
     )
@@ -60,20 +64,25 @@ def verdicts(parent_rows: DataFrame, refs: DataFrame) -> DataFrame:
         F.max("lives").alias("lives"),
         F.min("parent_at").alias("parent_at"),
         F.min("child_at").alias("first_child_at"),
+        F.count_if(~F.col("is_parent")).alias("n_references"),
     )
     kind = F.when(~F.col("has_parent"), F.lit("missing")).when(~F.col("lives"), F.lit("deleted"))
     bad = ~F.col("only_parent") & (kind.isNotNull() | (F.col("parent_at") > F.col("first_child_at")))
-    return grouped.where(bad).select("parent_table", "key", kind.alias("kind"), "parent_at")
+    told = grouped.select("parent_table", "key", kind.alias("kind"), "parent_at", F.coalesce(bad, F.lit(False)).alias("is_bad"), (F.col("n_references") > heavy).alias("is_heavy"))
+    return told.where(F.col("is_bad") | F.col("is_heavy"))
+
 
+def orphan_references(parent_rows: DataFrame, refs: DataFrame, blocks: int = BLOCKS, total: int | None = None) -> DataFrame:
+    """One row per bad reference: ``child_table, parent_table, child_id, child_at, side, kind``.
 
-def orphan_references(parent_rows: DataFrame, refs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """One row per bad reference: ``child_table, parent_table, child_id, child_at, side, kind``."""
-    groups = materialize(verdicts(parent_rows, refs))
-    heavy = heavy_keys(refs, ["parent_table", "key"], blocks).select("parent_table", "key")
+    ``total``: references, or a number somewhat above, if that is known; they are counted otherwise.
+    """
+    total = refs.count() if total is None else total
+    groups = materialize(verdicts(parent_rows, refs, total // blocks))
     on = ["parent_table", "key"]
-    few = groups.join(F.broadcast(heavy), on, "left_semi")
-    by_broadcast = refs.join(F.broadcast(few), on)
-    by_shuffle = refs.join(F.broadcast(heavy), on, "left_anti").join(groups.join(F.broadcast(heavy), on, "left_anti"), on)
+    heavy = groups.where("is_heavy")  # fewer than ``blocks``
+    by_broadcast = refs.join(F.broadcast(heavy.where("is_bad")), on)
+    by_shuffle = refs.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(groups.where("is_bad and not is_heavy"), on)
     found = by_broadcast.unionByName(by_shuffle)
     kind = F.coalesce(F.col("kind"), F.when(F.col("parent_at") > F.col("child_at"), F.lit("late")))
     rows = found.select("child_table", "parent_table", "child_id", "child_at", "side", kind.alias("kind")).where(F.col("kind").isNotNull())

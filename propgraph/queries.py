@@ -70,7 +70,7 @@ _COLUMNS = {
 
 
 @query(_P1 + "select id as entity_id, label, " + ", ".join(
-    f"max(case when attr_name = '{c}' then {'nullif(v, chr(32)[1:0])' if kind == 'string' else 'as_' + kind} end) as {c}" for kind, names in _COLUMNS.items() for c in names.split()
+    f"max(case when attr_name = '{c}' then {"nullif(v, '')" if kind == 'string' else 'as_' + kind} end) as {c}" for kind, names in _COLUMNS.items() for c in names.split()
 ) + " from x group by id, label")
 def p1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(spark, sf_dir).drop("unreadable")
@@ -189,7 +189,7 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = table(spark, sf_dir, "nodes"), table(spark, sf_dir, "edges")
     known = orphans.parents(nodes, "nodes", "id", "created_at", "deleted_at")
     refs = orphans.references(edges, "edges", "edge_id", "nodes", {"source": "source_id", "target": "target_id"}, "created_at")
-    return orphans.orphan_references(known, refs)
+    return orphans.orphan_references(known, refs, total=2 * edges.count())  # from the files' footers
 
 
 @query(_P5 + "select edge_id, side, kind from f where kind is not null")
