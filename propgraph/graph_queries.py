@@ -283,6 +283,16 @@ def i13_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.with_token(_index(spark, sf_dir), "type", "Economy")
 
 
+@query(f"with {_N} select (select count(*) from N where label = 'Nation') as n_nodes, 2::bigint as n_hits, 3::bigint as n_misses")
+def i14_result_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads repeated in one session, with room for one result."""
+    session = GraphSession(graph=_g(spark, sf_dir), remember=1)
+    nations = [session.execute('FIND_NODES_BY_LABEL(label: "Nation")').nodes.count() for _ in range(3)]
+    session.execute('FIND_NODES_BY_LABEL(label: "Region")').nodes.count()
+    nations.append(session.execute('FIND_NODES_BY_LABEL(label: "Nation")').nodes.count())
+    return _row(spark, n_nodes=max(nations), n_hits=session.cache_stats["hits"], n_misses=session.cache_stats["misses"])
+
+
 # ---------------------------------------------------------------- key-value reads
 
 _EVENTS = "select user_id as k, event_id, ts, event_type, value from events"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +54,22 @@ class Graph:
     """``nodes``: id, label, properties; ``edges``: edge_id, ord, source_id, target_id, label, properties.
 
     ``ord`` is any unique orderable column; it gives the order in which a node's edges are followed.
+    ``node_at`` and ``edges_at`` are for views that find the rows of an id without looking at all of them.
     """
 
     nodes: DataFrame
     edges: DataFrame
+    node_at: Callable[[int], DataFrame] | None = None
+    edges_at: Callable[[int, str], DataFrame] | None = None
+
+    def node(self, node_id: int) -> DataFrame:
+        return self.node_at(node_id) if self.node_at else self.nodes.where(F.col("id") == node_id)
+
+    def edges_from(self, node_id: int) -> DataFrame:
+        return self.edges_at(node_id, "source") if self.edges_at else self.edges.where(F.col("source_id") == node_id)
+
+    def edges_to(self, node_id: int) -> DataFrame:
+        return self.edges_at(node_id, "target") if self.edges_at else self.edges.where(F.col("target_id") == node_id)
 
     @classmethod
     def of(cls, spark: SparkSession, nodes: list[tuple], edges: list[tuple]) -> Graph:

@@ -37,7 +37,7 @@ def by_number(df: DataFrame, name: str, low: float | None = None, high: float |
 
 
 def get_node(graph: Graph, node_id: str | int) -> DataFrame:
-    return graph.nodes.where(F.col("id") == parse_id(node_id)).limit(1)
+    return graph.node(parse_id(node_id)).limit(1)
 
 
 def get_edge(graph: Graph, edge_id: str) -> DataFrame:
@@ -47,23 +47,22 @@ def get_edge(graph: Graph, edge_id: str) -> DataFrame:
 def require_node(graph: Graph, node_id: str | int, what: str = "node") -> int:
     """The id, if there is such a node."""
     n = parse_id(node_id)
-    if graph.nodes.where(F.col("id") == n).select("id").isEmpty():
+    if graph.node(n).select("id").isEmpty():
         raise NotFound(f"{what} not found: {n}")
     return n
 
 
 def incident_edges(graph: Graph, node_id: int, direction: str = "both") -> DataFrame:
     """Edges at a node: outgoing, incoming, or both as a bag, in which a loop is twice."""
-    out = graph.edges.where(F.col("source_id") == node_id)
-    into = graph.edges.where(F.col("target_id") == node_id)
+    out, into = graph.edges_from(node_id), graph.edges_to(node_id)
     return {"outgoing": out, "incoming": into, "both": out.unionByName(into)}[direction]
 
 
 def neighbours(graph: Graph, node_id: int, direction: str = "both") -> DataFrame:
     """The distinct existing nodes at the other ends; a node with a loop is its own neighbour."""
     ends = {
-        "outgoing": graph.edges.where(F.col("source_id") == node_id).select(F.col("target_id").alias("id")),
-        "incoming": graph.edges.where(F.col("target_id") == node_id).select(F.col("source_id").alias("id")),
+        "outgoing": graph.edges_from(node_id).select(F.col("target_id").alias("id")),
+        "incoming": graph.edges_to(node_id).select(F.col("source_id").alias("id")),
     }
     ids = ends["outgoing"].unionByName(ends["incoming"]) if direction == "both" else ends[direction]
     return graph.nodes.join(ids.distinct(), "id", "left_semi")

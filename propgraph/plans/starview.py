@@ -28,17 +28,24 @@ _NAMED = {
 }
 NODES = " union all ".join(f"select {_id(t, k)} as id, '{label}' as label from {{{t}}}" for t, (label, k) in _KEYS.items())
 PROPS = " union all ".join(f"select {_id(t, _KEYS[t][1])} as id, '{name}' as name, {c} as value from {{{t}}}" for t, names in _NAMED.items() for name, c in names.items())
-_PLAIN = (("IN_REGION", "nation", "n_nationkey", "region", "n_regionkey"), ("LOCATED_IN", "customer", "c_custkey", "nation", "c_nationkey"), ("LOCATED_IN", "supplier", "s_suppkey", "nation", "s_nationkey"))
-EDGES = " union all ".join(
-    [
-        *(f"select '{label}' as label, {_id(t, a)} as source_id, {_id(u, b)} as target_id, cast(null as varchar(20)) as qty from {{{t}}}" for label, t, a, u, b in _PLAIN),
-        f"select 'PLACED', {_id('customer', 'o_custkey')}, {_id('orders', 'o_orderkey')}, cast(null as varchar(20)) from {{orders}}",
-        f"select 'CONTAINS', {_id('orders', 'l_orderkey')}, {_id('part', 'l_partkey')}, cast(cast(sum(l_quantity) as bigint) as varchar(20)) from {{lineitem}} group by l_orderkey, l_partkey",
-        f"select 'SUPPLIES', {_id('supplier', 'l_suppkey')}, {_id('part', 'l_partkey')}, cast(count(*) as varchar(20)) from {{lineitem}} group by l_suppkey, l_partkey",
-    ]
+#: Label, table, source table and column, target table and column, quantity, grouping.
+_EDGES = (
+    ("IN_REGION", "nation", "nation", "n_nationkey", "region", "n_regionkey", "cast(null as varchar(20))", False),
+    ("LOCATED_IN", "customer", "customer", "c_custkey", "nation", "c_nationkey", "cast(null as varchar(20))", False),
+    ("LOCATED_IN", "supplier", "supplier", "s_suppkey", "nation", "s_nationkey", "cast(null as varchar(20))", False),
+    ("PLACED", "orders", "customer", "o_custkey", "orders", "o_orderkey", "cast(null as varchar(20))", False),
+    ("CONTAINS", "lineitem", "orders", "l_orderkey", "part", "l_partkey", "cast(cast(sum(l_quantity) as bigint) as varchar(20))", True),
+    ("SUPPLIES", "lineitem", "supplier", "l_suppkey", "part", "l_partkey", "cast(count(*) as varchar(20))", True),
 )
 
 
+def _edge(label: str, t: str, source: str, a: str, target: str, b: str, qty: str, grouped: bool, where: str = "") -> str:
+    return f"select '{label}' as label, {_id(source, a)} as source_id, {_id(target, b)} as target_id, {qty} as qty from {{{t}}}{where}" + (f" group by {a}, {b}" if grouped else "")
+
+
+EDGES = " union all ".join(_edge(*e) for e in _EDGES)
+
+
 LABELS = ["CONTAINS", "IN_REGION", "LOCATED_IN", "PLACED", "SUPPLIES"]
 
 
@@ -55,9 +62,9 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, PROPS)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, text: str = EDGES) -> DataFrame:
     """Edges with an id and an order made of label and ends, which together are unique."""
-    e = view(spark, sf_dir, EDGES)
+    e = view(spark, sf_dir, text)
     bag = F.when(F.col("qty").isNotNull(), F.create_map(F.lit("qty"), F.col("qty"))).otherwise(F.create_map().cast("map<string,string>"))
     number = F.array_position(F.lit(LABELS), F.col("label")).cast("int").alias("label_no")  # in the labels' order, but narrower
     return e.select(
@@ -65,11 +72,35 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _place(node_id: int) -> tuple[str | None, int]:
+    """The table an id belongs to, and its key there."""
+    number, key = divmod(node_id, 10**10)
+    return next((t for t, n in BASE.items() if n == number), None), key
+
+
+def edges_at(spark: SparkSession, sf_dir: str, node_id: int, end: str) -> DataFrame:
+    """The edges with that source (or target): only tables that have some are read, with the key in the scan's filter."""
+    t, key = _place(node_id)
+    own = [(e, e[3] if end == "source" else e[5]) for e in _EDGES if (e[2] if end == "source" else e[4]) == t]
+    text = " union all ".join(_edge(*e, where=f" where {column} = {key}") for e, column in own) or _edge(*_EDGES[0], where=" where false")
+    return edges(spark, sf_dir, text)
+
+
 def _bag(columns: dict[str, str]) -> str:
     return "map(" + ", ".join(f"'{n}', {c}" for n, c in columns.items()) + ")"
 
 
+def _node(t: str, where: str = "") -> str:
+    label, k = _KEYS[t]
+    return f"select {_id(t, k)} as id, '{label}' as label, {_bag(_NAMED[t])} as properties from {{{t}}}{where}"
+
+
+def node_at(spark: SparkSession, sf_dir: str, node_id: int) -> DataFrame:
+    t, key = _place(node_id)
+    return view(spark, sf_dir, _node(t, f" where {_KEYS[t][1]} = {key}") if t else _node("region", " where false"))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nodes carry their properties from the tables' columns, without a join."""
-    text = " union all ".join(f"select {_id(t, k)} as id, '{label}' as label, {_bag(_NAMED[t])} as properties from {{{t}}}" for t, (label, k) in _KEYS.items())
-    return Graph(view(spark, sf_dir, text), edges(spark, sf_dir))
+    """Nodes carry their properties from the tables' columns, without a join; an id is looked up by its table's key."""
+    nodes = view(spark, sf_dir, " union all ".join(_node(t) for t in _KEYS))
+    return Graph(nodes, edges(spark, sf_dir), lambda n: node_at(spark, sf_dir, n), lambda n, end: edges_at(spark, sf_dir, n, end))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,8 +52,11 @@ class Result:
 class GraphSession:
     """``open`` for a stored graph, which can be written; ``GraphSession(graph=…)`` only reads."""
 
-    def __init__(self, store: GraphStore | None = None, graph: Graph | None = None, most_hops: int = 10, lock_timeout: float = 5.0):
+    def __init__(self, store: GraphStore | None = None, graph: Graph | None = None, most_hops: int = 10, lock_timeout: float = 5.0, remember: int = 0):
+        """``remember``: results of so many reads are kept (persisted by Spark), the least recently used given up first."""
         self.store, self.fixed, self.most_hops, self.lock_timeout = store, graph, most_hops, lock_timeout
+        self.remember, self.cache_stats = remember, {"hits": 0, "misses": 0}
+        self._results: OrderedDict[tuple, Result] = OrderedDict()
         self.transactions = TransactionManager(store) if store else None
 
     @classmethod
@@ -65,7 +69,7 @@ class GraphSession:
         if q.type.endswith("_TRANSACTION"):
             return self._transaction(q)
         if q.type.startswith("FIND_"):
-            return self._read(q, self._graph(p.get("txId")))
+            return self._remembered(q) if self.remember and "txId" not in p else self._read(q, self._graph(p.get("txId")))
         m = self._manager()
         if "txId" in p:
             return self._write(q, m.get(p["txId"]))
@@ -78,6 +82,24 @@ class GraphSession:
         m.commit(tx)
         return result
 
+    def _remembered(self, q: Query) -> Result:
+        """Reads of one version never change, so a result is good for its query and version."""
+        key = (self.store.manifest().version if self.store else None, str(q))
+        if key in self._results:
+            self._results.move_to_end(key)
+            self.cache_stats["hits"] += 1
+            return self._results[key]
+        self.cache_stats["misses"] += 1
+        found = self._read(q, self._graph(None) if self.store is None else self.store.graph(key[0]))
+        kept = Result(*(df.persist() if df is not None else None for df in (found.nodes, found.edges, found.path)))
+        self._results[key] = kept
+        while len(self._results) > self.remember:
+            _, old = self._results.popitem(last=False)
+            for df in (old.nodes, old.edges, old.path):
+                if df is not None:
+                    df.unpersist()
+        return kept
+
     def _manager(self) -> TransactionManager:
         if self.transactions is None:
             raise GraphError("this session only reads")

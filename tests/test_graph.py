@@ -140,6 +140,24 @@ def test_paths_against_python(spark, seed):
         assert all(ends[y.edge_id] == {x.node_id, y.node_id} for x, y in zip(rows, rows[1:], strict=False))
 
 
+def test_levels_too_large_for_the_driver(spark, monkeypatch):
+    """The same answers when levels are tables from the start on, or from some depth on."""
+    r = random.Random(12)
+    edges = [(f"e{i}", i, r.randrange(30), r.randrange(30), "E", {}) for i in range(55)]
+    g = Graph.of(spark, [(i, "N", {}) for i in range(28)], edges)
+    depth, parent = python_bfs(edges, set(range(28)), 0, "both", 4)
+    far = max(depth, key=lambda n: (depth[n], n))
+    want = [tuple(x) for x in traverse.find_path(g, 0, far, 10).orderBy("pos").collect()]
+    for few, named in ((2, 1), (6, 3)):
+        monkeypatch.setattr(traverse, "FEW", few)
+        monkeypatch.setattr(traverse, "NAMED", named)
+        got = traverse.bfs(g, 0, "both", 4).collect()
+        assert {x.id: x.depth for x in got} == depth and {x.id: x.parent_id for x in got if x.depth} == parent
+        assert [tuple(x) for x in traverse.find_path(g, 0, far, 10).orderBy("pos").collect()] == want
+        stopped = {x.id for x in traverse.bfs(g, 0, "both", 4, stop=F.col("id") == far).collect()}
+        assert far in stopped and stopped <= set(depth)
+
+
 def test_dfs_against_python(spark):
     r = random.Random(5)
     edges = [(f"e{i}", i, r.randrange(15), r.randrange(15), "E", {}) for i in range(30)]
@@ -188,6 +206,13 @@ def test_batch_writes(g, spark):
         writes.add_edges(g, more).edges.collect()
 
 
+def test_remembered_results(g):
+    s = GraphSession(graph=g, remember=2)
+    for label in ("Ship", "Ship", "Harbour", "Ship", "Quay", "Harbour"):
+        assert s.execute(f'FIND_NODES_BY_LABEL(label: "{label}")').nodes.count() == {"Ship": 3, "Harbour": 2, "Quay": 0}[label]
+    assert s.cache_stats == {"hits": 2, "misses": 4}
+
+
 def test_session_reads(g):
     s = GraphSession(graph=g)
     d = s.execute('FIND_PATH(sourceId: "10", targetId: "50", maxHops: "x")').to_dict()
