@@ -155,7 +155,7 @@ def parts(text: str, names: bool = True) -> tuple[str, str]:
 
     def put_aside(m: re.Match) -> str:
         x = m[0]
-        if x[0] != "<" and x[1:2] != "\\":
+        if not (x[0] == "<" and (" " not in x or "=" in x) or x[1:2] == "\\"):  # tags and codes say nothing
             aside.append(x)
         return " "
 

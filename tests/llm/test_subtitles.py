@@ -44,3 +44,11 @@ def test_masked_words_enclose_no_sound():
 
 def test_nothing():
     assert s.spoken("").strip() == "" and s.fold("") == "" and s.repair("") == ""
+
+
+def test_what_is_no_tag_is_set_aside():
+    text = '1\n00:00:01,000 --> 00:00:02,000\n<font color="#fff">Go</font> <i>on</i> {\\an8}now <3 you fool -> there (sighs) ANNA: Yes'
+    speech, aside = s.parts(text)
+    assert speech.split() == ["Go", "on", "now", "there", "ANNA:", "Yes"] and aside.split(s.CUE) == ["<3 you fool ->", "(sighs)"]
+    speech, aside = s.parts("THE OLD HARBOUR MASTER: Yes\nNo")
+    assert speech.split() == ["Yes", "No"] and aside == "THE OLD HARBOUR MASTER:"
