@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import index, kv, oplog, reads, traverse, writes
+from .operators.changes import EqualityDeleteTable
 from .plans import starview
-from .queries import QUERIES, query  # noqa: F401
+from .queries import _P2, QUERIES, query  # noqa: F401
 from .model import Graph, GraphError, TransactionError
 from .plans import language
 from .runtime import scratch_path, table
 from .session import GraphSession
 from .sources import files
 from .sources.log import LogStore
+from .streaming import changes as stream
 from .txn import HIGH, LOW
 
 _N = f"N as ({starview.sql(starview.NODES)})"
@@ -516,6 +518,30 @@ def g9_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.replay(stored.read()).select(F.lit(first).cast("bigint").alias("next_seq"), "key", "value", F.lit(stored.read().count()).cast("bigint").alias("n_records"))
 
 
+# ---------------------------------------------------------------- streams
+
+
+def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.log_stream(spark, f"{sf_dir}/wal_record[s].parquet")  # a pattern may name a file or a folder
+
+
+@query(_P2 + "select record_key, record_version, v as record_value from l where t = 1")
+def s2_stream_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream, transactions included, applied to an equality-delete table."""
+    stored = EqualityDeleteTable(spark, scratch_path(spark))
+    stream.apply_stream(_log_stream(spark, sf_dir), stored, scratch_path(spark)).awaitTermination()
+    return stored.read()
+
+
+@query("select epoch_us(date_trunc('hour', record_ts)) as start_us, record_type, count(*) as n from wal_records where record_ts is not null group by all")
+def s2_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records per type and hour, with so long a watermark that none is late."""
+    counts, path = stream.windowed_counts(_log_stream(spark, sf_dir), "1 hour", "10000 days"), scratch_path(spark)
+    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", scratch_path(spark)).trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.parquet(path).select(F.unix_micros("start").alias("start_us"), "record_type", "n")
+
+
 # ---------------------------------------------------------------- writes
 
 

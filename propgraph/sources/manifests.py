@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..model import GraphError
@@ -15,7 +16,7 @@ class Conflict(GraphError):
 
 
 class Manifests:
-    """A manifest appears whole or not at all: it is written aside, then renamed, which fails if the number exists."""
+    """A manifest appears whole or not at all: it is written aside, then renamed or linked, which fails if the number exists."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -48,9 +49,23 @@ class Manifests:
         out = fs.create(aside, False)
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        if fs.exists(final) or not fs.rename(aside, final):
-            fs.delete(aside, False)
-            raise Conflict(f"version {number} was committed by another writer")
+        try:
+            if fs.exists(final) or not (self._link(aside, final) if fs.getScheme() == "file" else fs.rename(aside, final)):
+                raise Conflict(f"version {number} was committed by another writer")
+        finally:
+            if fs.exists(aside):
+                fs.delete(aside, False)
+
+    def _link(self, aside, final) -> bool:
+        """On a mounted file system, where a rename would overwrite: a link, which only one of several writers can make."""
+        path = lambda p: self.spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            self.spark._jvm.java.nio.file.Files.createLink(path(final), path(aside))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        return True
 
     def delete(self, number: int) -> None:
         fs, p = self.file(f"{number:012d}.json")

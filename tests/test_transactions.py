@@ -6,6 +6,7 @@ import pytest
 from propgraph.model import Graph, GraphError, NotFound, TransactionError
 from propgraph.session import GraphSession
 from propgraph.sources import files
+from propgraph.sources.manifests import Conflict, Manifests
 from propgraph.sources.store import GraphStore
 from propgraph.txn import HIGH, LOW, TransactionManager
 
@@ -155,6 +156,27 @@ def test_two_writers_of_one_store(spark, tmp_path):
     assert [r.label for r in two.store.graph().nodes.collect()] == ["A"] and two.stats()["writer"] is None
 
 
+def test_a_number_is_published_once(spark, tmp_path):
+    m, won = Manifests(spark, str(tmp_path / "m")), []
+
+    def publish(i):
+        try:
+            m.publish(7, {"by": i})
+            won.append(i)
+        except Conflict:
+            pass
+
+    for _ in range(3):
+        threads = [threading.Thread(target=publish, args=(i,)) for i in range(6)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert len(won) == 1 and m.read_all() == {7: {"by": won[0]}}
+        m.delete(7)
+        won.clear()
+
+
 def test_tiers_and_plans(spark, tmp_path):
     store = GraphStore(spark, str(tmp_path / "g"), compact_after=3)
     store.load(Graph.of(spark, [(i, "Old", {"n": str(i)}) for i in range(100)], [(str(i), i, i, i + 1, "E", {}) for i in range(99)]))
