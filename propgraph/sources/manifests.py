@@ -50,21 +50,21 @@ class Manifests:
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
         try:
-            if fs.exists(final) or not (self._link(aside, final) if fs.getScheme() == "file" else fs.rename(aside, final)):
+            if fs.exists(final) or not (self._link(fs, aside, final) if fs.getScheme() == "file" else fs.rename(aside, final)):
                 raise Conflict(f"version {number} was committed by another writer")
         finally:
             if fs.exists(aside):
                 fs.delete(aside, False)
 
-    def _link(self, aside, final) -> bool:
-        """On a mounted file system, where a rename would overwrite: a link, which only one of several writers can make."""
+    def _link(self, fs, aside, final) -> bool:
+        """On a mounted file system, where a rename would overwrite: a link, which only one of several writers can make. Without links it has to be a rename."""
         path = lambda p: self.spark._jvm.java.io.File(p.toUri().getPath()).toPath()
         try:
             self.spark._jvm.java.nio.file.Files.createLink(path(final), path(aside))
         except Py4JJavaError as e:
             if "FileAlreadyExistsException" in str(e.java_exception):
                 return False
-            raise
+            return fs.rename(aside, final)
         return True
 
     def delete(self, number: int) -> None:
